@@ -1,8 +1,8 @@
 """Typed columns out of service log lines: ``time | LEVEL    | logger | message``.
 
-The logger is a module name or, in the detailed layout, ``module:function:line``. ``compat=True``
-reads level, module and errors by loose search in the whole line, as the original statistics do;
-the default reads the four fields.
+The logger is a module name or, in the detailed layout, ``module:function:line``. With
+``compat=True`` level, module and errors are found by loose search in the whole line; with
+``compat=False`` they are read from the four fields.
 """
 
 from __future__ import annotations

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def series_stats(values: DataFrame, by: str = "metric", value: str = "value") -> DataFrame:
-    """(metric, n, avg_value, median_value, min_value, max_value) of long (metric, value) rows.
 
-    Equal values are counted before any shuffle, so what is ordered per metric are its distinct
+def series_stats(
+    values: DataFrame, by: Sequence[str] = ("metric",), value: str = "value", flag: Column | None = None,
+) -> DataFrame:
+    """Per series: n, avg_value, median_value, min_value, max_value and n_flagged (rows where ``flag``,
+    an expression over the series and value columns, holds).
+
+    Equal values are counted before any shuffle, so what is ordered per series are its distinct
     values (a few thousand for seconds and scores with two to four decimals), by a sort that can
-    spill. The median is exact.
+    spill. The median is exact. A series of nulls only has its count.
     """
-    distinct = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    distinct = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = distinct.withColumn("_to", F.sum("_n").over(upto)).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(by)))
+        "_total", F.sum("_n").over(Window.partitionBy(*by)))
 
-    def holds(rank: str):
+    def holds(rank: str) -> Column:
         return F.max(F.when(F.expr(f"_to - _n < {rank} and {rank} <= _to"), F.col(value)))
 
-    return ranked.groupBy(by).agg(
+    flagged = F.when(flag, F.col("_n")).otherwise(0) if flag is not None else F.lit(0)
+    return ranked.groupBy(*by).agg(
         F.sum("_n").alias("n"),
         (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg_value"),
         ((holds("(_total + 1) div 2") + holds("_total div 2 + 1")) / 2).alias("median_value"),
         F.min(value).alias("min_value"), F.max(value).alias("max_value"),
+        F.sum(flagged).cast("bigint").alias("n_flagged"),
     )

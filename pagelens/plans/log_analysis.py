@@ -25,16 +25,14 @@ def _rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
 
 
 def level_counts(facts: DataFrame) -> DataFrame:
-    """(level, n, pct) for all five levels, zeros included. Lines without a level are not counted."""
-    spark = facts.sparkSession
-    levels = _rows(spark, [(i, name) for i, name in enumerate(L.LEVELS)], "ordinal int, level string")
-    found = facts.where(F.col("level").isin(*L.LEVELS)).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    # Five rows at most on either side.
-    counted = F.broadcast(levels).join(found, "level", "left").select(
-        "ordinal", "level", F.coalesce("n", F.lit(0)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counted.select(
-        "level", "n", F.coalesce(F.col("n") * 100 / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("pct"))
+    """(level, n, pct) for all five levels, zeros included. Lines without a level are not counted.
+    One aggregate row, then unfolded."""
+    one = facts.agg(*[F.count_if(F.col("level") == name).alias(name) for name in L.LEVELS])
+    total = F.nullif(sum((F.col(name) for name in L.LEVELS), F.lit(0)), F.lit(0))
+    cells = F.array(*[F.struct(
+        F.lit(name).alias("level"), F.col(name).alias("n"),
+        F.coalesce(F.col(name) * 100 / total, F.lit(0.0)).alias("pct")) for name in L.LEVELS])
+    return one.select(F.explode(cells).alias("c")).select("c.level", "c.n", "c.pct")
 
 
 def module_counts(facts: DataFrame) -> DataFrame:
@@ -60,20 +58,22 @@ def measurements(facts: DataFrame) -> DataFrame:
     )
 
 
+def flagged_value() -> Column:
+    """Over (metric, value): a slow operation, or a low score."""
+    flag = F.col("metric").isin(*SCORES) & (F.col("value") < L.LOW_SCORE)
+    for metric, limit in L.SLOW_SECONDS.items():
+        flag = flag | ((F.col("metric") == metric) & (F.col("value") > limit))
+    return flag
+
+
 def measurement_stats(facts: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """Statistics of each metric; one that never occurs has a row with ``n = 0`` and nulls.
 
     ``n_flagged`` counts slow operations (above the metric's limit) or low scores (below 0.7).
     """
     long = measurements(facts).where(F.col("metric").isin(*metrics))
-    flagged = F.lit(False)
-    for metric, limit in L.SLOW_SECONDS.items():
-        flagged = flagged | ((F.col("metric") == metric) & (F.col("value") > limit))
-    flagged = flagged | (F.col("metric").isin(*SCORES) & (F.col("value") < L.LOW_SCORE))
-    counts = long.groupBy("metric").agg(F.count_if(flagged).alias("n_flagged"))
-    names = F.broadcast(_rows(facts.sparkSession, [(m,) for m in metrics], "metric string"))
-    stats = names.join(series_stats(long), "metric", "left").join(counts, "metric", "left")
-    return stats.select(
+    names = F.broadcast(_rows(facts.sparkSession, [(m,) for m in metrics], "metric string"))  # fixed, few rows
+    return names.join(series_stats(long, flag=flagged_value()), "metric", "left").select(
         "metric", F.coalesce("n", F.lit(0)).alias("n"), "avg_value", "median_value", "min_value", "max_value",
         F.coalesce("n_flagged", F.lit(0)).alias("n_flagged"),
     )
@@ -229,29 +229,64 @@ def slo_status(facts: DataFrame) -> DataFrame:
     )
 
 
-def report(facts: DataFrame) -> DataFrame:
-    """All sections as one long (section, item, measure, value, note) table."""
-
-    def section(name: str, df: DataFrame, item: Column, measures: dict[str, str], note: Column | None = None) -> DataFrame:
-        cells = F.array(*[
-            F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("value")) for m, c in measures.items()])
-        return df.select(F.lit(name).alias("section"), item.alias("item"), F.explode(cells).alias("c"),
-                         (note if note is not None else F.lit(None).cast("string")).alias("note")
-                         ).select("section", "item", "c.measure", "c.value", "note")
-
-    numbers = {"count": "n", "average": "avg_value", "median": "median_value", "min": "min_value",
-               "max": "max_value", "flagged": "n_flagged"}
-    missing = F.when(F.col("n") == 0, "no data")
-    newest = recent_errors(facts).select("message", F.lit(1).alias("one"))
-    parts = [
-        section("levels", level_counts(facts), F.col("level"), {"count": "n", "percent": "pct"}),
-        section("timings", timing_stats(facts), F.col("metric"), numbers, missing),
-        section("scores", score_stats(facts), F.col("metric"), numbers, F.coalesce(missing, F.col("band"))),
-        section("modules", top_modules(facts), F.col("module"), {"count": "n"}),
-        section("errors", error_rate(facts), F.lit("all"), {"count": "errors", "percent": "rate_pct"}, F.col("band")),
-        section("recent errors", newest, F.col("message"), {"count": "one"}),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+# Every item that the report shows even when the logs hold nothing for it.
+_REPORT_ITEMS = (
+    *[("levels", name) for name in L.LEVELS],
+    *[("timings", name) for name in ("api", "retrieval", "evaluation")],
+    *[("scores", name) for name in SCORES],
+    ("errors", "all"),
+)
+
+
+def report(facts: DataFrame, top: int = 10) -> DataFrame:
+    """All sections as one long (section, item, measure, value, note) table.
+
+    One pass over the lines tallies levels, modules, timings, scores and errors together (each line
+    becomes a few short rows that are counted before the shuffle); a second one picks the last errors.
+    """
+
+    def row(section: str, item: Column, value: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(section).alias("section"), item.alias("metric"),
+                                     value.cast("double").alias("value")))
+
+    nothing = F.lit(None).cast("double")
+    rows = F.array_compact(F.array(
+        row("levels", F.col("level"), nothing, F.col("level").isin(*L.LEVELS)),
+        row("modules", F.col("module"), nothing, F.col("module").isNotNull()),
+        row("timings", F.col("operation"), F.col("seconds"),
+            F.col("seconds").isNotNull() & F.col("operation").isin("api", "retrieval", "evaluation")),
+        *[row("scores", F.lit(s), F.col(s), F.col(s).isNotNull()) for s in SCORES],
+        row("errors", F.lit("all"), nothing, F.col("is_error")),
+    ))
+    tall = facts.select(F.explode(rows).alias("r")).select("r.*")
+    shown = F.broadcast(_rows(facts.sparkSession, list(_REPORT_ITEMS), "section string, metric string"))
+    stats = series_stats(tall, ["section", "metric"], flag=flagged_value()).join(
+        shown, ["section", "metric"], "full_outer").na.fill(0, ["n", "n_flagged"])
+    # From here on there is one row per item: levels, modules, a handful of metrics.
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "metric"))
+    lines = F.sum(F.when(F.col("section") == "levels", F.col("n"))).over(Window.partitionBy(F.lit(1)))
+    pct = F.coalesce(F.col("n") * 100 / F.nullif(lines, F.lit(0)), F.lit(0.0))
+    listed = stats.withColumn("place", place).withColumn("pct", pct).where(
+        (F.col("section") != "modules") | (F.col("place") <= top))
+    has_pct = F.col("section").isin("levels", "errors")
+    is_series = F.col("section").isin("timings", "scores")
+
+    def cell(measure: str, column: str, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(measure).alias("measure"), F.col(column).cast("double").alias("value")))
+
+    cells = F.array_compact(F.array(
+        cell("count", "n", F.lit(True)), cell("percent", "pct", has_pct), cell("average", "avg_value", is_series),
+        cell("median", "median_value", is_series), cell("min", "min_value", is_series),
+        cell("max", "max_value", is_series), cell("flagged", "n_flagged", is_series)))
+    note = (
+        F.when(is_series & (F.col("n") == 0), "no data")
+        .when(F.col("section") == "scores", L.quality_band(F.col("avg_value")))
+        .when(F.col("section") == "errors", L.error_rate_band(F.col("n"), F.col("pct")))
+    )
+    item = F.when(F.col("section") == "modules", L.module_short(F.col("metric"))).otherwise(F.col("metric"))
+    table = listed.select("section", item.alias("item"), F.explode(cells).alias("c"), note.alias("note")).select(
+        "section", "item", "c.measure", "c.value", "note")
+    newest = recent_errors(facts).select(
+        F.lit("recent errors").alias("section"), F.col("message").alias("item"), F.lit("count").alias("measure"),
+        F.lit(1.0).alias("value"), F.lit(None).cast("string").alias("note"))
+    return table.unionByName(newest)
