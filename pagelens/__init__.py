@@ -1 +1,8 @@
 """Multimodal document retrieval and RAG analytics as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

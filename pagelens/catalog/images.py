@@ -34,7 +34,7 @@ SELECT printf('%s:image:p%04d:%s', sha256(pdf_path)[1:16], page, sha1(content)[1
 QUALIFY row_number() OVER (PARTITION BY pdf_path, page, content ORDER BY image_id) = 1""")
 def image_ids(spark, sf_dir):
     pictures = R.images(spark, sf_dir)
-    return image_rows(pictures, R.hashed_paths(pictures)).select(
+    return image_rows(pictures, R.picture_files(spark, sf_dir)).select(
         "id", "image_id", "pdf_path", "page", "text", "bbox_sig", "bbox_x1")
 
 

@@ -17,13 +17,12 @@ from pagelens.operators.series import series_stats
 
 
 @query("context_list", f"""WITH {R.hits_sql(R.L2_SQL)}
-SELECT qid, count(*) AS n, string_agg(coalesce(c.text, '')[1:50], '|' ORDER BY pos) AS contexts FROM hits h JOIN corpus c USING (id) GROUP BY qid""")
+SELECT qid, count(*) AS n, string_agg(coalesce(c.text, ''), '|' ORDER BY pos) AS contexts FROM hits h JOIN corpus c USING (id) GROUP BY qid""")
 def context_list(spark, sf_dir):
     records, questions = R.records(spark, sf_dir), R.vector_questions(spark, sf_dir)
     hits = with_records(retrieve(records, questions), records, "text")
-    shortened = F.transform("contexts", lambda c: F.substring(c, 1, 50))
     return ordered_contexts(questions, hits).select(
-        "qid", F.size("contexts").cast("bigint").alias("n"), F.array_join(shortened, "|").alias("contexts"))
+        "qid", F.size("contexts").cast("bigint").alias("n"), F.array_join("contexts", "|").alias("contexts"))
 
 
 # Context of a question: the documents whose number is the conversation's.

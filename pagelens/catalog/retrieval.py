@@ -54,7 +54,7 @@ def retrieve_ip(spark, sf_dir):
 # The way for more questions than may be broadcast; exact as well.
 @query("knn_by_cells", f"WITH {R.hits_sql(R.L2_SQL)} SELECT qid, collection, id, {_SCORE}, rank FROM ranked")
 def knn_by_cells(spark, sf_dir):
-    return _ranked(nearest(R.records(spark, sf_dir), R.vector_questions(spark, sf_dir), broadcast_bytes=0, pivots=16))
+    return _ranked(nearest(R.records(spark, sf_dir), R.vector_questions(spark, sf_dir), broadcast_bytes=0, pivots=16, group_bytes=64 << 10))
 
 
 # Approximate; tests hold its recall against the exact search.
@@ -64,13 +64,12 @@ def knn_probed(spark, sf_dir):
 
 
 @query("hit_records", f"""WITH {R.hits_sql(R.L2_SQL)}
-SELECT qid, h.collection, id, pos, c.file_name, CAST(c.page AS VARCHAR) AS page, c.text[1:400] AS preview FROM hits h JOIN corpus c USING (id)""")
+SELECT qid, h.collection, id, pos, c.file_name, CAST(c.page AS VARCHAR) AS page, c.text FROM hits h JOIN corpus c USING (id)""")
 def hit_records(spark, sf_dir):
     records = R.records(spark, sf_dir)
     hits = retrieve(records, R.vector_questions(spark, sf_dir))
     return with_records(hits, records, "file_name", "page", "text").select(
-        "qid", "collection", "id", F.col("pos").cast("bigint").alias("pos"), "file_name", F.col("page").cast("string").alias("page"),
-        F.substring("text", 1, 400).alias("preview"))
+        "qid", "collection", "id", F.col("pos").cast("bigint").alias("pos"), "file_name", F.col("page").cast("string").alias("page"), "text")
 
 
 BLOCK_SQL = """blocks AS (
@@ -112,11 +111,11 @@ def answer_questions(spark, sf_dir):
         "qid", "answer", "ok", "error", "prompt_chars", "response_chars")
 
 
-@query("generate_answers", f"""WITH {R.QA_SQL} SELECT qid, concat(question[1:20], '?') AS answer, true AS ok,
-  CAST(length(question) AS INTEGER) AS prompt_chars, CAST(length(question[1:20]) + 1 AS INTEGER) AS response_chars FROM questions""")
+@query("generate_answers", f"""WITH {R.QA_SQL} SELECT qid, concat(question, ' ?') AS answer, true AS ok,
+  CAST(length(question) AS INTEGER) AS prompt_chars, CAST(length(question) + 2 AS INTEGER) AS response_chars FROM questions""")
 def generate_answers(spark, sf_dir):
     asked = R.user_questions(spark, sf_dir).withColumnRenamed("question", "prompt")
-    return generate(asked, lambda p: p[:20] + "?").select("qid", "answer", "ok", "prompt_chars", "response_chars")
+    return generate(asked, lambda p: p + " ?").select("qid", "answer", "ok", "prompt_chars", "response_chars")
 
 
 TEXT_SEARCH_SQL = f"""WITH {R.PAGES_SQL}, {R.PAGE_FILES_SQL}, {R.CHUNKS_SQL}, {R.QA_SQL},
@@ -146,4 +145,4 @@ def ask_documents(spark, sf_dir):
     chunks = text_records(R.pages(spark, sf_dir), R.page_files(spark, sf_dir))
     corpus = materialize(chunks.withColumn("embedding", hashed_words()(F.col("text"))), "corpus")
     asked = R.user_questions(spark, sf_dir)
-    return answer(corpus, asked, lambda prompt: prompt[:80]).select("qid", "prompt", "answer", "ok")
+    return answer(corpus, asked, lambda prompt: f"{len(prompt)} characters read").select("qid", "prompt", "answer", "ok")

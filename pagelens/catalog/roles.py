@@ -53,9 +53,9 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table per order: a header row, then one row per line item; some cells are padded or null."""
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    order = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
-    # Never falls along the row order, and keeps an order of any length spread over tasks.
-    bucket = F.expr("l_linenumber * 1000000 + least(l_partkey div 4096, 999999)")
+    order = ["l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
+    # Never falls along the row order, and spreads an order with very many parts over tasks.
+    bucket = F.expr("l_partkey div 50000")
     rows = running_number(items, ["l_orderkey"], order, bucket)
     cells = F.array(
         F.col("l_linenumber").cast("string"), F.concat(F.lit("  "), F.col("l_partkey").cast("string"), F.lit(" ")),
@@ -76,7 +76,7 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 TABLES_SQL = """item_rows AS (
   SELECT l_orderkey, row_number() OVER (
            PARTITION BY l_orderkey
-           ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag) AS row_no,
+           ORDER BY l_partkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag) AS row_no,
          [CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(CAST(l_quantity AS INTEGER) AS VARCHAR),
           CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR),
           CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END] AS cells
@@ -125,9 +125,18 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.join(extra, "png_path")
 
 
-def hashed_paths(rows: DataFrame) -> DataFrame:
+def _hashed_paths(rows: DataFrame, path: str) -> DataFrame:
     """(pdf_path, doc_hash) for roles whose files have no bytes in the shared tables."""
-    return rows.select("pdf_path").distinct().withColumn("doc_hash", content_hash(F.col("pdf_path")))
+    return rows.select(F.expr(path).alias("pdf_path")).distinct().withColumn(
+        "doc_hash", content_hash(F.col("pdf_path")))
+
+
+def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hashed_paths(table(spark, sf_dir, "lineitem"), "concat('ledger-', l_orderkey div 1000, '.pdf')")
+
+
+def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hashed_paths(table(spark, sf_dir, "part"), "replace(p_brand, '#', '-')")
 
 
 IMAGES_SQL = """images AS (

@@ -65,7 +65,7 @@ SELECT printf('%s:table:p%04d:%s:%02d', sha256(pdf_path)[1:16], page, bbox_sig,
        x0 AS bbox_x0, y0 AS bbox_y0, x0 + 100.5 AS bbox_x1, y0 + 50 AS bbox_y1 FROM records""")
 def table_ids(spark, sf_dir):
     cells = R.table_cells(spark, sf_dir)
-    return table_rows(table_records(cells), R.hashed_paths(cells)).select(
+    return table_rows(table_records(cells), R.table_files(spark, sf_dir)).select(
         "id", "table_id", "pdf_path", "page", "bbox_sig", "text", "csv_path", "bbox_x0", "bbox_y0", "bbox_x1", "bbox_y1")
 
 

@@ -30,7 +30,7 @@ SLOW_SECONDS = {"api": 5.0, "retrieval": 2.0, "evaluation": 20.0}
 LOW_SCORE = 0.7
 ALERT_SECONDS = 5.0
 
-_LAYOUT = r"^(\S+ \S+) \| (\w+)\s+\| ([\w.]+)(?::([\w<>]+):(\d+))? \| (.*)$"
+_LAYOUT = r"^\S+ \S+ \| \w+\s+\| [\w.]+(:[\w<>]+:\d+)? \| "
 
 
 def _found(line: Column, pattern: str, group: int = 1) -> Column:
@@ -41,27 +41,37 @@ def _number(line: Column, pattern: str, kind: str = "double") -> Column:
     return _found(line, pattern).try_cast(kind)
 
 
+def _field(line: Column, at: int) -> Column:
+    """One of the four fields of a line in the layout. The match and the split are the same
+    expression for every field, so generated code evaluates them once per line."""
+    return F.when(line.rlike(_LAYOUT), F.get(F.split(line, r" \| ", 4), F.lit(at)))
+
+
+def _logger_part(line: Column, at: int) -> Column:
+    return F.get(F.split(_field(line, 2), ":"), F.lit(at))
+
+
 def parse_line(line: Column) -> list[Column]:
     """ts, level, module, func, lineno, message; all null for a line in another layout."""
     return [
-        F.try_to_timestamp(_found(line, _LAYOUT, 1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
-        _found(line, _LAYOUT, 2).alias("level"),
-        _found(line, _LAYOUT, 3).alias("module"),
-        _found(line, _LAYOUT, 4).alias("func"),
-        _found(line, _LAYOUT, 5).try_cast("int").alias("lineno"),
-        _found(line, _LAYOUT, 6).alias("message"),
+        F.try_to_timestamp(_field(line, 0), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
+        F.rtrim(_field(line, 1)).alias("level"),
+        _logger_part(line, 0).alias("module"),
+        _logger_part(line, 1).alias("func"),
+        _logger_part(line, 2).try_cast("int").alias("lineno"),
+        _field(line, 3).alias("message"),
     ]
 
 
 def level_of(line: Column, compat: bool = True) -> Column:
     if not compat:
-        return _found(line, _LAYOUT, 2)
+        return F.rtrim(_field(line, 1))
     return F.coalesce(*[F.when(F.contains(line, F.lit(f"| {name}")), name) for name in LEVELS])
 
 
 def module_of(line: Column, compat: bool = True) -> Column:
     if not compat:
-        return _found(line, _LAYOUT, 3)
+        return _logger_part(line, 0)
     return _found(line, r"\| ([a-zA-Z0-9_.]+) \|")
 
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pagelens.model import COLLECTIONS, layout
@@ -28,21 +29,22 @@ DEFAULT_K = 4
 DEFAULT_TOP_N = 6
 BROADCAST_BYTES = 64 << 20
 PIVOTS = 128
-SLICE_ROWS = 20_000
-BLOCK_ROWS = 50_000
+HIT_BYTES = 256  # generous size of one hit in memory
+GROUP_BYTES = 32 << 20  # vectors of one cell slice or one question block in a task
 
 
 def k_or_default(k: int | None) -> int:
     return k or DEFAULT_K
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Arrow list column without nulls, all of one length, to a float matrix."""
+def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
+    """Arrow list column without null lists to a float matrix; a vector of another length is an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return flat.reshape(n, -1) if n else np.empty((0, 0))
+    lengths = column.value_lengths()
+    if len(column) and pc.min_max(lengths).as_py() != {"min": dimensions, "max": dimensions}:
+        raise ValueError(f"every vector must have {dimensions} elements")
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), dimensions)
 
 
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -50,10 +52,6 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.astype("U") if values.dtype == object else values
 
 
-def _comparable(df: DataFrame, vector: str, dimensions: int) -> DataFrame:
-    return df.where(F.size(vector) == dimensions)
-
-
 def _hits(qids: pa.Array, collection: str, best: NearestSoFar, schema: pa.Schema) -> pa.RecordBatch:
     names = pa.array([collection] * len(best.row), pa.string())
     return pa.RecordBatch.from_arrays(
@@ -74,36 +72,49 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
 def nearest(
     corpus: DataFrame, questions: DataFrame, k: int | None = None, metric: str = "l2sq", *,
     probes: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, pivots: int = PIVOTS,
-    slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
+    """The ``k`` nearest records per question and collection. ``qid`` and, per collection, ``id`` are
+    keys. Records without a vector, or with one that has a missing or infinite element, are not found."""
+    return _nearest(corpus, questions, k, metric, probes, broadcast_bytes, pivots, group_bytes)[0]
+
+
+def _nearest(
+    corpus: DataFrame, questions: DataFrame, k: int | None, metric: str = "l2sq", probes: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES, pivots: int = PIVOTS, group_bytes: int = GROUP_BYTES,
+) -> tuple[DataFrame, int | None]:
+    """Hits, and the number of questions where it had to be counted for the size check."""
     k = k_or_default(k)
-    corpus = corpus.select("collection", "id", "embedding")
+    corpus = corpus.select("collection", "id", "embedding").where(F.col("embedding").isNotNull())
     questions = questions.select("qid", "qvec").where(F.col("qvec").isNotNull())
     probe = questions.first()
     schema = _hit_schema(corpus, questions)
     if probe is None:
-        return _rank(corpus.sparkSession.createDataFrame([], schema), k)
+        return _rank(corpus.sparkSession.createDataFrame([], schema), k), 0
     dimensions = len(probe["qvec"])
-    corpus, questions = _comparable(corpus, "embedding", dimensions), _comparable(questions, "qvec", dimensions)
     if probes is None:
-        fits = max(1, broadcast_bytes // (8 * dimensions))
+        fits = broadcast_bytes // (8 * dimensions)
+        # At most one row more than may be broadcast reaches the driver.
         taken = questions.limit(fits + 1).toArrow()
         if taken.num_rows <= fits:
-            return _rank(_scan(corpus, taken, k, metric, schema), k)
-    return _rank(_by_cells(corpus, questions, k, metric, schema, dimensions, probes, pivots, slice_rows, block_rows), k)
+            return _rank(_scan(corpus, taken, k, metric, schema, dimensions), k), taken.num_rows
+    group_rows = max(1, group_bytes // (8 * dimensions))
+    return _rank(_by_cells(corpus, questions, k, metric, schema, dimensions, probes, pivots, group_rows), k), None
 
 
-def _scan(corpus: DataFrame, questions: pa.Table, k: int, metric: str, schema: T.StructType) -> DataFrame:
+def _scan(
+    corpus: DataFrame, questions: pa.Table, k: int, metric: str, schema: T.StructType, dimensions: int,
+) -> DataFrame:
     spark = corpus.sparkSession
     qids = questions.column("qid").combine_chunks()
-    shared = spark.sparkContext.broadcast(_matrix(questions.column("qvec")))
+    shared = spark.sparkContext.broadcast(_matrix(questions.column("qvec"), dimensions))
     arrow = _arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, NearestSoFar] = {}
         for batch in batches:
             collections, ids = batch.column("collection"), _ids(batch.column("id"))
-            vectors = _matrix(batch.column("embedding"))
+            vectors = _matrix(batch.column("embedding"), dimensions)
             names = np.asarray(collections.to_numpy(zero_copy_only=False))
             for name in collections.unique().to_pylist():
                 chosen = names == name
@@ -127,21 +138,21 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def _by_cells(
     corpus: DataFrame, questions: DataFrame, k: int, metric: str, schema: T.StructType, dimensions: int,
-    probes: int | None, pivots: int, slice_rows: int, block_rows: int,
+    probes: int | None, pivots: int, group_rows: int,
 ) -> DataFrame:
     # Pivots: a bounded, repeatable choice. Any choice gives the same result, only at other cost.
+    spherical = metric == "cosine"
+    usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    if spherical:
+        usable = usable & F.exists("embedding", lambda x: x != 0)
     chosen = (
-        corpus.orderBy(F.xxhash64("id"), "id").select("embedding").limit(pivots).toArrow().column("embedding")
+        corpus.where(usable).orderBy(F.xxhash64("id"), "id").select("embedding").limit(pivots).toArrow().column("embedding")
     )
     if len(chosen) == 0:
         return corpus.sparkSession.createDataFrame([], schema)
-    centres = _matrix(chosen)
-    spherical = metric == "cosine"
+    centres = _matrix(chosen, dimensions)
     if spherical:
         centres = unit(centres)
-        centres = centres[np.isfinite(centres).all(axis=1)]
-        if not len(centres):
-            return corpus.sparkSession.createDataFrame([], schema)
     near = corpus.sparkSession.sparkContext.broadcast(centres)
 
     def reach(vectors: np.ndarray) -> np.ndarray:
@@ -156,7 +167,7 @@ def _by_cells(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                gaps = reach(_matrix(batch.column("embedding")))
+                gaps = reach(_matrix(batch.column("embedding"), dimensions))
                 usable = np.isfinite(gaps).all(axis=1)
                 gaps, batch = gaps[usable], batch.filter(pa.array(usable))
                 cell = gaps.argmin(axis=1)
@@ -170,7 +181,7 @@ def _by_cells(
         placed.groupBy("collection", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
         .orderBy("collection", "cell").toPandas()
     )
-    stats["slices"] = np.ceil(stats["n"] / slice_rows).astype("int64").clip(lower=1)
+    stats["slices"] = np.ceil(stats["n"] / group_rows).astype("int64").clip(lower=1)
     by_collection = {c: g.reset_index(drop=True) for c, g in stats.groupby("collection")}
     wanted_schema = layout(
         qid=questions.schema["qid"].dataType, qvec=T.ArrayType(T.DoubleType()), collection=T.StringType(),
@@ -198,7 +209,7 @@ def _by_cells(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = _matrix(batch.column("qvec"))
+            vectors = _matrix(batch.column("qvec"), dimensions)
             gaps = reach(vectors)
             for collection, cells in by_collection.items():
                 row, col = np.nonzero(choose(gaps, cells) & np.isfinite(gaps).all(axis=1)[:, None])
@@ -214,7 +225,8 @@ def _by_cells(
                          pa.array(cell[a:a + 4096].astype("int32")), pa.array(part[a:a + 4096].astype("int32"))],
                         schema=wanted_arrow)
 
-    blocks = max(1, -(-questions.count() // block_rows))
+    questions = materialize(questions, "questions")
+    blocks = max(1, -(-questions.count() // group_rows))
     wanted = questions.mapInArrow(route, wanted_schema).withColumn(
         "block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
     slices = corpus.sparkSession.createDataFrame(stats[["collection", "cell", "slices"]],
@@ -231,8 +243,8 @@ def _by_cells(
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not asked.num_rows or not held.num_rows:
             return arrow.empty_table()
-        best = NearestSoFar(_matrix(asked.column("qvec")), k, metric)
-        best.add(_ids(held.column("id")), _matrix(held.column("embedding")))
+        best = NearestSoFar(_matrix(asked.column("qvec"), dimensions), k, metric)
+        best.add(_ids(held.column("id")), _matrix(held.column("embedding"), dimensions))
         collection = held.column("collection")[0].as_py()
         return pa.Table.from_batches([_hits(asked.column("qid").combine_chunks(), collection, best, arrow)])
 
@@ -253,12 +265,20 @@ def retrieve(
     corpus: DataFrame, questions: DataFrame, *, k_each: int | None = None, top_n: int = DEFAULT_TOP_N,
     collections: Sequence[str] = COLLECTIONS, **search,
 ) -> DataFrame:
-    """The ``top_n`` nearest records of each question over ``collections``, ``k_each`` from each."""
+    """The ``top_n`` nearest records of each question over ``collections``, ``k_each`` from each.
+
+    Where the counted questions bound the hits, they carry a broadcast hint: joining them to the records
+    then scans the records instead of shuffling all their text. Without that bound they carry none.
+    """
     chosen = corpus.where(F.col("collection").isin(*collections))
-    return merge_collections(nearest(chosen, questions, k_each, **search), top_n, collections)
+    found, asked = _nearest(chosen, questions, k_each, **search)
+    hits = merge_collections(found, top_n, collections)
+    bounded = asked is not None and asked * top_n * HIT_BYTES <= BROADCAST_BYTES
+    return F.broadcast(hits) if bounded else hits
 
 
 def with_records(hits: DataFrame, records: DataFrame, *columns: Column | str) -> DataFrame:
     """Fetch text and metadata of the final hits. Search itself moves ids and scores only."""
     wanted = [c for c in (columns or records.columns) if c not in ("collection", "id", "embedding")]
-    return hits.join(records.select("collection", "id", *wanted), ["collection", "id"])
+    return records.select("collection", "id", *wanted).join(hits, ["collection", "id"]).select(
+        *hits.columns, *wanted)

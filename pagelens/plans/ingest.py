@@ -32,6 +32,8 @@ def with_provenance(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Add each file's hash and tag. ``files`` is (pdf_path, doc_hash); Spark broadcasts it when its
     measured size is small and shuffles by path otherwise."""
     tag = F.coalesce(F.nullif(F.col("doc_tag"), F.lit("")), file_stem(F.col("pdf_path")))
+    if "doc_hash" in rows.columns:  # attached earlier
+        return rows
     known = files if "doc_tag" in files.columns else files.withColumn("doc_tag", F.lit(None).cast("string"))
     return rows.join(known.select("pdf_path", "doc_hash", tag.alias("doc_tag")), "pdf_path")
 
@@ -50,11 +52,13 @@ def text_records(pages: DataFrame, files: DataFrame, chunks: Callable[[Column],
     """Chunks of every page. The chunk number in an id counts over the whole file: per page the chunks
     are counted, earlier pages are summed, and only then are the chunks unfolded."""
     split = chunks or recursive_chunks()
-    split_pages = pages.where(has_text(F.col("text"))).select(
-        "pdf_path", page_number(F.col("page0")).alias("page"), "page_label", split(F.col("text")).alias("_chunks"))
+    split_pages = with_provenance(pages.where(has_text(F.col("text"))), files).select(
+        "pdf_path", "doc_hash", "doc_tag", page_number(F.col("page0")).alias("page"), "page_label",
+        split(F.col("text")).alias("_chunks"))
+    # The splitter runs for the counts and again for the rows: cheaper than storing all chunks between.
     counted = running_total(
         split_pages, ["pdf_path"], ["page"], _bucket("page"), F.size("_chunks"), "_before")
-    rows = with_provenance(counted, files).select(
+    rows = counted.select(
         "pdf_path", "page", "page_label", "doc_hash", "doc_tag", "_before",
         F.posexplode("_chunks").alias("_no", "_c"))
     rows = rows.select("*", F.col("_c.chunk").alias("text"), (F.col("_before") + F.col("_no")).alias("position"))
@@ -149,10 +153,11 @@ def index_files(
     """Ingest files whose content no stored record has, and store their records as one batch.
     Returns the per-file counts. Known files drop out before any splitting, captioning or embedding."""
     before = store.current(batch) if batch is not None else store.current()
-    fresh = not_indexed(files, before, force)
-    names = ("pages", "cells", "images")
-    wanted = {n: branches[n].join(fresh.select("pdf_path"), "pdf_path", "left_semi")
-              for n in names if branches.get(n) is not None}
+    # One file per content, so that the ids of this batch are unique.
+    fresh = keep_first(not_indexed(files, before, force), ["doc_hash"], ["pdf_path"])
+    wanted = {n: with_provenance(branches[n], fresh) for n in ("pages", "images") if branches.get(n) is not None}
+    if branches.get("cells") is not None:  # cell rows are narrowed here and get their file's hash as records
+        wanted["cells"] = branches["cells"].join(fresh.select("pdf_path"), "pdf_path", "left_semi")
     ingested = ingest(**{**branches, **wanted})
-    store.append(all_records(ingested, fresh, embed), batch)
+    store.append(all_records(ingested, fresh, embed), batch, unique=True)
     return ingested["stats"]

@@ -13,6 +13,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Grouped lists here are bounded (a few rows per table, question or page bucket), so many groups may
+    # be hashed before aggregation falls back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # Vectors and page texts are wide: smaller Arrow batches keep a Python worker's memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
@@ -27,9 +30,11 @@ def build_session(app: str = "pagelens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Log times carry no zone; reading them as UTC keeps results equal on every cluster."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that a session built elsewhere needs as well. Log times carry no zone; reading them as
+    UTC keeps results equal on every cluster."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"):
+        spark.conf.set(key, DEFAULTS[key])
     return spark
 
 

@@ -22,6 +22,16 @@ def stream_logs(spark: SparkSession, path: str, glob: str = CURRENT_LOGS) -> Dat
     return _lines(spark.readStream.option("pathGlobFilter", glob).text(path))
 
 
+def read_latest_log(spark: SparkSession, path: str, glob: str = CURRENT_LOGS) -> DataFrame:
+    """Lines of the current log with the greatest name. Names come from the file listing alone, and
+    only the chosen file is read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    newest = listed.agg(F.max(F.element_at(F.split("path", "/"), -1))).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no {glob} below {path}")
+    return read_logs(spark, path, newest)
+
+
 def latest_log(lines: DataFrame) -> DataFrame:
     """Lines of the log with the greatest file name. The name is one pre-aggregated value."""
     newest = lines.agg(F.max("file").alias("file"))

@@ -1,0 +1,156 @@
+"""Log parsing and statistics: a day with known figures, edge lines, an empty log."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from conftest import service_log
+
+from pagelens.functions import logs as L
+from pagelens.plans import log_analysis as A
+from pagelens.sources.logs import latest_log, read_latest_log, read_logs
+from pyspark.sql import functions as F
+
+
+@pytest.fixture
+def day(log_lines):
+    return L.log_facts(log_lines(service_log()))
+
+
+@pytest.fixture
+def morning(log_lines):
+    return L.log_facts(log_lines(service_log()[:61]))
+
+
+def by_metric(df):
+    return {r.metric: r for r in df.collect()}
+
+
+def near(row, n, avg, median, least, most):
+    assert row.n == n
+    for got, want in zip((row.avg_value, row.median_value, row.min_value, row.max_value), (avg, median, least, most)):
+        assert abs(got - want) < 5e-6, (got, want)
+
+
+def test_figures_of_the_first_four_runs(morning):
+    timings, scores = by_metric(A.timing_stats(morning)), by_metric(A.score_stats(morning))
+    near(timings["api"], 4, 1.7175, 1.64, 1.45, 2.14)
+    near(timings["retrieval"], 4, 1.23, 1.22, 1.17, 1.31)
+    near(timings["evaluation"], 3, 11.843333, 11.58, 11.07, 12.88)
+    near(scores["faithfulness"], 2, 1.0, 1.0, 1.0, 1.0)
+    near(scores["relevancy"], 2, 0.8082, 0.8082, 0.8066, 0.8098)
+    assert (scores["faithfulness"].band, scores["relevancy"].band) == ("Excellent", "Good")
+    assert {r.n_flagged for r in (*timings.values(), *scores.values())} == {0}
+    levels = {r.level: (r.n, round(r.pct, 2)) for r in A.level_counts(morning).collect()}
+    assert levels == {"DEBUG": (0, 0.0), "INFO": (60, 98.36), "WARNING": (0, 0.0), "ERROR": (1, 1.64), "CRITICAL": (0, 0.0)}
+    rate = A.error_rate(morning).first()
+    assert (rate.errors, rate.total, round(rate.rate_pct, 2), rate.band) == (1, 61, 1.64, "Good")
+
+
+def test_figures_of_the_whole_day(day):
+    timings, scores = by_metric(A.timing_stats(day)), by_metric(A.score_stats(day))
+    near(timings["api"], 5, 1.734, 1.65, 1.45, 2.14)
+    near(timings["retrieval"], 5, 1.242, 1.24, 1.17, 1.31)
+    near(timings["evaluation"], 4, 12.045, 12.115, 11.07, 12.88)
+    near(scores["relevancy"], 3, 0.822567, 0.8098, 0.8066, 0.8513)
+    near(by_metric(A.measurement_stats(day, ("answer",)))["answer"], 5, 2.98, 2.90, 2.76, 3.31)
+    assert round(A.error_rate(day).first().rate_pct, 2) == 1.28
+    assert {r.module: r.n for r in A.module_counts(day).collect()} == {
+        "app.search": 25, "app.quality": 20, "__main__": 18, "app.model": 15}
+    assert [r.module for r in A.top_modules(day, 2).collect()] == ["app.search", "app.quality"]
+    hours = {r.window_start.hour: (r.n_lines, r.n_errors) for r in A.health_windows(day).collect()}
+    assert hours == {12: (61, 1), 14: (17, 0)}
+    assert A.slow_operations(day).count() == 4
+    assert {r.metric: r.status for r in A.slo_status(day).collect()} == {
+        "api": "ok", "retrieval": "ok", "evaluation": "ok", "faithfulness": "ok", "relevancy": "ok", "error_rate": "warning"}
+    assert [tuple(r) for r in A.failure_rates(day).where("operation = 'evaluation'").collect()] == [("evaluation", 1, 4, 20.0)]
+    sizes = A.size_checks(day).first()
+    assert tuple(sizes) == (5, 0, 5, 5, 0)
+    newest = A.recent_errors(day).collect()
+    assert [r.message for r in newest] == ["Evaluation failed after 11.07s: unsupported format string"]
+
+
+def test_report_agrees_with_its_parts(day):
+    rows = {(r.section, r.item, r.measure): (r.value, r.note) for r in A.report(day).collect()}
+    for r in A.timing_stats(day).collect():
+        assert rows["timings", r.metric, "count"][0] == r.n and abs(rows["timings", r.metric, "median"][0] - r.median_value) < 1e-12
+    for r in A.level_counts(day).collect():
+        assert rows["levels", r.level, "count"][0] == r.n and abs(rows["levels", r.level, "percent"][0] - r.pct) < 1e-9
+    assert rows["scores", "relevancy", "average"][1] == "Good" and rows["errors", "all", "count"] == (1.0, "Good")
+    assert rows["modules", "app.search", "count"][0] == 25 and len([k for k in rows if k[0] == "recent errors"]) == 1
+
+
+def test_empty_log(log_lines):
+    facts = L.log_facts(log_lines([]))
+    assert [(r.n, r.pct) for r in A.level_counts(facts).collect()] == [(0, 0.0)] * 5
+    assert [(r.n, r.avg_value) for r in A.timing_stats(facts).collect()] == [(0, None)] * 3
+    assert tuple(A.error_rate(facts).first()) == (0, 0, 0.0, "No errors")
+    assert {r.status for r in A.slo_status(facts).collect()} == {"no data"}
+    report = A.report(facts)
+    assert {r.note for r in report.where("section in ('timings', 'scores')").collect()} == {"no data"}
+    assert report.where("section = 'levels' and measure = 'count'").agg(F.sum("value")).first()[0] == 0
+    assert A.recent_errors(facts).count() == 0 and A.daily_report(facts).count() == 0
+
+
+EDGE = [
+    "2025-01-02 03:04:05 | CRITICAL | app.core | out of Memory",
+    "2025-01-02 03:04:05 | DEBUG    | app.core:run:17 | about to ERROR out",
+    "Traceback (most recent call last):",
+    '  File "x.py", line 3, in <module>',
+    "",
+    "2025-01-02 03:04:05 | ERROR    | app.core | Generation failed after 3.10s: API fail | more | bars",
+    "2025-13-45 03:04:05 | INFO     | app.core | Generation completed in 7s (no fraction)",
+    "ERROR without layout " + "x" * 120,
+    "2025-01-02 03:04:05 | INFO     | app.core | Vision generation completed in 9.50s (response: 5 chars)",
+    "2025-01-02 03:04:05 | WARNING  | app.core | Results - Faithfulness: None, Answer Relevancy: 0.1250",
+]
+
+
+def test_edge_lines(log_lines):
+    lines = log_lines(EDGE)
+    loose = {r.line_no: r for r in L.log_facts(lines).collect()}
+    strict = {r.line_no: r for r in L.log_facts(lines, compat=False).collect()}
+    assert [loose[i].level for i in range(10)] == [
+        "CRITICAL", "DEBUG", None, None, None, "ERROR", "INFO", None, "INFO", "WARNING"]
+    # Loose search takes an unpadded level name for the module and finds none in the detailed layout.
+    assert [loose[i].module for i in (0, 1, 5)] == ["CRITICAL", None, "app.core"]
+    assert [strict[i].module for i in (0, 1, 2, 5)] == ["app.core", "app.core", None, "app.core"]
+    assert (strict[1].func, strict[1].lineno, strict[1].message) == ("run", 17, "about to ERROR out")
+    assert [i for i in range(10) if loose[i].is_error] == [1, 5, 7]
+    assert [i for i in range(10) if strict[i].is_error] == [0, 5]
+    assert strict[0].ts == dt.datetime(2025, 1, 2, 3, 4, 5) and strict[6].ts is None and strict[2].ts is None
+    assert strict[5].message == "Generation failed after 3.10s: API fail | more | bars"
+    assert loose[6].operation == "api" and loose[6].seconds is None
+    assert (loose[8].operation, loose[8].seconds) == ("vision", 9.5)
+    assert (loose[9].faithfulness, loose[9].relevancy) == (None, 0.125)
+
+
+def test_error_texts(log_lines):
+    lines = log_lines(EDGE)
+    got = {r.line_no: r for r in lines.select("line_no", L.error_text(F.col("value")).alias("t"), L.error_short(F.col("value")).alias("s"),
+                                              L.error_categories(F.col("value")).alias("c"), L.error_category(F.col("value")).alias("one")).collect()}
+    assert got[5].t == "Generation failed after 3.10s: API fail"
+    assert got[7].t == EDGE[7] and got[7].s == EDGE[7][:100] + "..."
+    assert got[0].c == ["resource"] and got[5].one == "api" and got[7].one == "other"
+
+
+@pytest.mark.parametrize("value, band", [(0.9, "Excellent"), (0.7, "Good"), (0.5, "Fair"), (0.49, "Poor"), (None, None)])
+def test_quality_band(spark, value, band):
+    assert spark.createDataFrame([(value,)], "v double").select(L.quality_band(F.col("v"))).first()[0] == band
+
+
+@pytest.mark.parametrize("errors, rate, band", [(0, 0.0, "No errors"), (1, 0.99, "Excellent"), (1, 1.0, "Good"), (1, 4.99, "Good"), (1, 5.0, "High")])
+def test_error_rate_band(spark, errors, rate, band):
+    df = spark.createDataFrame([(errors, rate)], "e int, r double")
+    assert df.select(L.error_rate_band(F.col("e"), F.col("r"))).first()[0] == band
+
+
+def test_files(spark, tmp_path):
+    for name, lines in {"rag_20250101.log": ["a"], "rag_20250103.log": ["b", "c"], "rag_20250103.log.1": ["d"], "errors.log": ["e"]}.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    lines = read_logs(spark, str(tmp_path))
+    assert {r.value for r in lines.collect()} == {"a", "b", "c"}
+    assert {r.value for r in latest_log(lines).collect()} == {r.value for r in read_latest_log(spark, str(tmp_path)).collect()} == {"b", "c"}
+    with pytest.raises(FileNotFoundError):
+        read_latest_log(spark, str(tmp_path), "none_*.log")
