@@ -31,9 +31,8 @@ def _rounded(*columns):
   string_split(string_split(value, ' | ')[3], ':')[1] AS module, string_split(string_split(value, ' | ')[3], ':')[2] AS func,
   string_split(string_split(value, ' | ')[3], ':')[3] AS lineno, string_split(value, ' | ')[4] AS message FROM lines""")
 def log_parse(spark, sf_dir):
-    line = F.col("value")
-    return R.log_lines(spark, sf_dir).select("line_no", *L.parse_line(line)).withColumn("ts", _stamp()).withColumn(
-        "lineno", F.col("lineno").cast("string"))
+    return L.parse_log(R.log_lines(spark, sf_dir)).select(
+        "line_no", _stamp().alias("ts"), "level", "module", "func", F.col("lineno").cast("string").alias("lineno"), "message")
 
 
 @query("log_facts", W + """ SELECT line_no, level, module, operation, seconds, faithfulness, relevancy, is_error FROM facts_s""")

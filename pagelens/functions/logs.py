@@ -38,40 +38,55 @@ def _found(line: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _number(line: Column, pattern: str, kind: str = "double") -> Column:
-    return _found(line, pattern).try_cast(kind)
+    # No match gives '', and '' is no number.
+    return F.regexp_extract(line, pattern, 1).try_cast(kind)
 
 
-def _field(line: Column, at: int) -> Column:
-    """One of the four fields of a line in the layout. The match and the split are the same
-    expression for every field, so generated code evaluates them once per line."""
-    return F.when(line.rlike(_LAYOUT), F.get(F.split(line, r" \| ", 4), F.lit(at)))
+def fields(line: Column) -> Column:
+    """The four fields as an array; null for a line in another layout."""
+    return F.when(line.rlike(_LAYOUT), F.split(line, r" \| ", 4))
 
 
-def _logger_part(line: Column, at: int) -> Column:
-    return F.get(F.split(_field(line, 2), ":"), F.lit(at))
+def _field(parts: Column, at: int) -> Column:
+    return F.get(parts, F.lit(at))
 
 
-def parse_line(line: Column) -> list[Column]:
-    """ts, level, module, func, lineno, message; all null for a line in another layout."""
+def _logger_part(parts: Column, at: int) -> Column:
+    return F.get(F.split(_field(parts, 2), ":"), F.lit(at))
+
+
+def field_columns(parts: Column) -> list[Column]:
+    """ts, level, module, func, lineno, message out of ``fields``; all null where it is null."""
     return [
-        F.try_to_timestamp(_field(line, 0), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
-        F.rtrim(_field(line, 1)).alias("level"),
-        _logger_part(line, 0).alias("module"),
-        _logger_part(line, 1).alias("func"),
-        _logger_part(line, 2).try_cast("int").alias("lineno"),
-        _field(line, 3).alias("message"),
+        _field(parts, 0).try_cast("timestamp").alias("ts"),
+        F.rtrim(_field(parts, 1)).alias("level"),
+        _logger_part(parts, 0).alias("module"),
+        _logger_part(parts, 1).alias("func"),
+        _logger_part(parts, 2).try_cast("int").alias("lineno"),
+        _field(parts, 3).alias("message"),
     ]
 
 
+def time_of(line: Column) -> Column:
+    return field_columns(fields(line))[0]
+
+
+def parse_log(lines: DataFrame) -> DataFrame:
+    """Add the six field columns. The fields are a column of their own first, so that a line is matched
+    and split once however many of them are used."""
+    return lines.withColumn("_fields", fields(F.col("value"))).select(
+        *lines.columns, *field_columns(F.col("_fields")))
+
+
 def level_of(line: Column, compat: bool = True) -> Column:
     if not compat:
-        return F.rtrim(_field(line, 1))
+        return F.rtrim(_field(fields(line), 1))
     return F.coalesce(*[F.when(F.contains(line, F.lit(f"| {name}")), name) for name in LEVELS])
 
 
 def module_of(line: Column, compat: bool = True) -> Column:
     if not compat:
-        return _logger_part(line, 0)
+        return _logger_part(fields(line), 0)
     return _found(line, r"\| ([a-zA-Z0-9_.]+) \|")
 
 
@@ -180,13 +195,18 @@ def error_rate_band(errors: Column, rate_pct: Column) -> Column:
 
 
 def log_facts(lines: DataFrame, compat: bool = True) -> DataFrame:
-    """Add every derived column the aggregations use; one narrow projection over the lines."""
+    """Add every derived column the aggregations use. What several columns build on is computed first,
+    once per line; columns nobody reads are pruned."""
     line = F.col("value")
-    parsed = {c: e for c, e in zip(("ts", "func", "lineno", "message"), [parse_line(line)[i] for i in (0, 3, 4, 5)])}
-    return lines.select(
-        "*", parsed["ts"], level_of(line, compat).alias("level"), module_of(line, compat).alias("module"),
-        parsed["func"], parsed["lineno"], parsed["message"], operation(line).alias("operation"),
-        F.when(operation(line).isNotNull(), seconds(line)).alias("seconds"),
-        faithfulness(line).alias("faithfulness"), relevancy(line).alias("relevancy"),
-        is_error(line, compat).alias("is_error"),
+    based = lines.select("*", fields(line).alias("_fields"), operation(line).alias("operation"))
+    ts, level, module, func, lineno, message = field_columns(F.col("_fields"))
+    if compat:
+        level, module = level_of(line).alias("level"), module_of(line).alias("module")
+        error = is_error(line)
+    else:
+        error = F.coalesce(F.rtrim(_field(F.col("_fields"), 1)).isin(*ERROR_LEVELS), F.lit(False))
+    return based.select(
+        *lines.columns, ts, level, module, func, lineno, message, "operation",
+        F.when(F.col("operation").isNotNull(), seconds(line)).alias("seconds"),
+        faithfulness(line).alias("faithfulness"), relevancy(line).alias("relevancy"), error.alias("is_error"),
     )

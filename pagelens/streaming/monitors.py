@@ -41,7 +41,7 @@ def windowed_counts(lines: DataFrame, width: str = "1 hour", watermark: str | No
     """Lines and errors per time window. With a watermark, state of old windows is dropped and later
     lines for them are not counted; without one no line is lost and state is one row per window."""
     timed = lines.select(
-        L.parse_line(F.col("value"))[0], L.is_error(F.col("value")).alias("is_error")).where(F.col("ts").isNotNull())
+        L.time_of(F.col("value")), L.is_error(F.col("value")).alias("is_error")).where(F.col("ts").isNotNull())
     if watermark:
         timed = timed.withWatermark("ts", watermark)
     return timed.groupBy(F.window("ts", width).alias("w")).agg(
