@@ -22,7 +22,7 @@ def image_hash(content: Column) -> Column:
 
 def bbox_sig(bbox: Column) -> Column:
     """Four coordinates rounded half to even and joined by ``_``; ``none`` without a box."""
-    sides = [F.bround(bbox[s], 0).cast("bigint").cast("string") for s in BOX_SIDES]
+    sides = [F.bround(bbox[s], 0).try_cast("bigint").cast("string") for s in BOX_SIDES]
     return F.when(bbox.isNull(), "none").otherwise(F.concat_ws("_", *sides))
 
 

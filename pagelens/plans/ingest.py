@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelens.functions import ids as I
+from pagelens.functions.media import media_type
 from pagelens.functions.text import file_name, file_stem, has_text, image_body, page_number, table_body
 from pagelens.model import RECORDS
-from pagelens.operators.chunking import explode_chunks, recursive_chunks
+from pagelens.operators.chunking import recursive_chunks
 from pagelens.operators.embedding import hashed_words
 from pagelens.operators.identity import keep_first, not_indexed
 from pagelens.operators.inference import caption, recognise_text
 from pagelens.operators.numbering import running_number, running_total
-from pagelens.functions.media import media_type
+from pagelens.session import materialize
 from pagelens.sources.files import cap_pages
 from pagelens.sources.store import RecordStore
 from pagelens.sources.tables import table_records
@@ -154,7 +155,9 @@ def index_files(
     Returns the per-file counts. Known files drop out before any splitting, captioning or embedding."""
     before = store.current(batch) if batch is not None else store.current()
     # One file per content, so that the ids of this batch are unique.
-    fresh = keep_first(not_indexed(files, before, force), ["doc_hash"], ["pdf_path"])
+    # Written once: it decides for every branch, and its size then tells Spark what may be broadcast.
+    narrow = files.select(*[c for c in ("pdf_path", "doc_hash", "doc_tag") if c in files.columns])
+    fresh = materialize(keep_first(not_indexed(narrow, before, force), ["doc_hash"], ["pdf_path"]), "fresh")
     wanted = {n: with_provenance(branches[n], fresh) for n in ("pages", "images") if branches.get(n) is not None}
     if branches.get("cells") is not None:  # cell rows are narrowed here and get their file's hash as records
         wanted["cells"] = branches["cells"].join(fresh.select("pdf_path"), "pdf_path", "left_semi")

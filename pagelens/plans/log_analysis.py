@@ -9,7 +9,7 @@ from pagelens.operators.series import series_stats
 
 SCORES = ("faithfulness", "relevancy")
 
-# Service targets. (metric, unit is better when lower, target edge, critical edge)
+# Service targets. (metric, lower is better, target edge, critical edge)
 TARGETS = (
     ("api", True, 3.0, 5.0),
     ("retrieval", True, 1.5, 3.0),
@@ -209,24 +209,23 @@ def size_checks(facts: DataFrame, max_chars: int = 5000, least: int = 6, most: i
 
 
 def slo_status(facts: DataFrame) -> DataFrame:
-    """Measured means against the service targets: ok, warning, critical or no data.
-    A value on an edge is a warning."""
-    spark = facts.sparkSession
-    targets = F.broadcast(_rows(
-        spark, [(m, low, t, c) for m, low, t, c in TARGETS],
-        "metric string, lower_is_better boolean, target double, critical double"))
-    means = (
-        measurements(facts).groupBy("metric").agg(F.avg("value").alias("value"))
-        .unionByName(error_rate(facts).select(
-            F.lit("error_rate").alias("metric"), F.when(F.col("total") > 0, F.col("rate_pct")).alias("value")))
-    )
-    value, low = F.col("value"), F.col("lower_is_better")
-    good = F.when(low, value < F.col("target")).otherwise(value > F.col("target"))
-    bad = F.when(low, value > F.col("critical")).otherwise(value < F.col("critical"))
-    return targets.join(means, "metric", "left").select(
-        "metric", "value",
-        F.when(value.isNull(), "no data").when(good, "ok").when(bad, "critical").otherwise("warning").alias("status"),
-    )
+    """Measured means against the service targets: ok, warning, critical or no data. A value on an edge
+    is a warning. All means come from one aggregate row."""
+    total = F.count_if(F.col("level").isin(*L.LEVELS))
+    means = {
+        **{name: _mean_of(name) for name in ("api", "retrieval", "evaluation")},
+        **{name: F.avg(name) for name in SCORES},
+        "error_rate": F.count_if("is_error") * 100 / F.nullif(total, F.lit(0)),
+    }
+    one = facts.agg(*[mean.alias(f"_{name}") for name, mean in means.items()])
+
+    def judged(metric: str, low: bool, target: float, critical: float) -> Column:
+        value = F.col(f"_{metric}")
+        good, bad = (value < target, value > critical) if low else (value > target, value < critical)
+        status = F.when(value.isNull(), "no data").when(good, "ok").when(bad, "critical").otherwise("warning")
+        return F.struct(F.lit(metric).alias("metric"), value.alias("value"), status.alias("status"))
+
+    return one.select(F.explode(F.array(*[judged(*t) for t in TARGETS])).alias("t")).select("t.*")
 
 
 # Every item that the report shows even when the logs hold nothing for it.

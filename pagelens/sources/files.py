@@ -51,8 +51,8 @@ def image_records(files: DataFrame) -> DataFrame:
     return files.select(
         F.regexp_replace(name, r"\.[^.]*$", "").alias("image_id"),
         F.element_at(F.split("path", "/"), -2).alias("pdf_path"),
-        F.regexp_extract(name, r"^fig-p(\d+)-", 1).cast("int").alias("page"),
+        F.regexp_extract(name, r"^fig-p(\d+)-", 1).try_cast("int").alias("page"),
         F.when(name.rlike(r"^fig-p\d+-full-"), "fullpage").otherwise("embedded").alias("kind"),
-        F.expr("try_cast(nullif(regexp_extract(path, '-img([0-9]+)', 1), '') as int)").alias("image_no"),
+        F.regexp_extract(name, r"-img(\d+)", 1).try_cast("int").alias("image_no"),
         F.col("path").alias("png_path"), "content",
     )

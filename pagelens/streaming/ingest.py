@@ -23,8 +23,11 @@ def run_ingest(
     """
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        fresh = not_indexed(keep_first(batch, ["doc_hash"], [order]), store.current(before=batch_id))
-        store.append(to_records(fresh), batch_id, unique=True)
+        fresh = not_indexed(keep_first(batch, ["doc_hash"], [order]), store.current(before=batch_id)).persist()
+        try:
+            store.append(to_records(fresh), batch_id, unique=True)
+        finally:
+            fresh.unpersist()
 
     query = (
         files.writeStream.foreachBatch(absorb).trigger(availableNow=True)

@@ -93,8 +93,10 @@ def test_same_chunks_whatever_the_partitioning(spark):
 
 
 def test_window_chunks(spark):
-    rows = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None), (4, "abc"), (5, "abcd")], "id int, text string")
-    got = explode_chunks(rows, window_chunks(F.col("text"), 4, 1)).orderBy("id", "chunk_no").collect()
-    assert [(r.id, r.start, r.end, r.text) for r in got] == [
-        (1, 0, 4, "abcd"), (1, 3, 7, "defg"), (1, 6, 10, "ghij"), (1, 9, 10, "j"), (4, 0, 3, "abc"), (4, 3, 3, ""),
-        (5, 0, 4, "abcd"), (5, 3, 4, "d")][:4] + [(4, 0, 3, "abc"), (5, 0, 4, "abcd"), (5, 3, 4, "d")]
+    rows = [(1, "abcdefghij"), (2, ""), (3, None), (4, "abc"), (5, "abcd"), (6, "éü" * 700), (7, "x" * 193), (8, "y" * 192)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = explode_chunks(df, window_chunks(F.col("text"), 4, 1)).orderBy("id", "chunk_no").collect()
+    want = [
+        (key, at, start, min(start + 4, len(text)), text[start:start + 4])
+        for key, text in rows for at, start in enumerate(range(0, len(text or ""), 3))]
+    assert [(r.id, r.chunk_no, r.start, r.end, r.text) for r in got] == want
