@@ -34,9 +34,13 @@ def _words(text: Column) -> Column:
 def judge_by_words(samples_df: DataFrame, share: float = SUPPORT_SHARE) -> DataFrame:
     """Default judge: (qid, claim_id, supported). A claim is a sentence of the answer, supported when
     at least ``share`` of its words occur in the contexts. Row-local: nothing is shuffled."""
-    known = _words(F.array_join("contexts", " "))
-    sentences = F.filter(F.split(F.coalesce("answer", F.lit("")), r"[.!?\n]+"), lambda s: F.size(_words(s)) > 0)
-    claims = samples_df.select("qid", known.alias("_known"), F.posexplode(sentences).alias("claim_id", "_claim"))
+    # Answer words that the contexts know: compared with each claim instead of all context words.
+    answer = F.coalesce("answer", F.lit(""))
+    known = F.array_intersect(_words(answer), _words(F.array_join("contexts", " ")))
+    sentences = F.filter(F.split(answer, r"[.!?\n]+"), lambda s: F.size(_words(s)) > 0)
+    # Two steps: next to a generator, expressions are evaluated once per generated row.
+    judged = samples_df.select("qid", known.alias("_known"), sentences.alias("_claims"))
+    claims = judged.select("qid", "_known", F.posexplode("_claims").alias("claim_id", "_claim"))
     words = _words(F.col("_claim"))
     covered = F.size(F.array_intersect(words, F.col("_known"))) / F.size(words)
     return claims.select("qid", "claim_id", (covered >= share).alias("supported"))

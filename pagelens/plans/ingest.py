@@ -55,10 +55,11 @@ def text_records(pages: DataFrame, files: DataFrame, chunks: Callable[[Column],
     split = chunks or recursive_chunks()
     split_pages = with_provenance(pages.where(has_text(F.col("text"))), files).select(
         "pdf_path", "doc_hash", "doc_tag", page_number(F.col("page0")).alias("page"), "page_label",
-        split(F.col("text")).alias("_chunks"))
+        F.xxhash64("text").alias("_tie"), split(F.col("text")).alias("_chunks"))
     # The splitter runs for the counts and again for the rows: cheaper than storing all chunks between.
     counted = running_total(
-        split_pages, ["pdf_path"], ["page"], _bucket("page"), F.size("_chunks"), "_before")
+        # Page numbers should be unique, but a repeated one must not make ids hang on the order of arrival.
+        split_pages, ["pdf_path"], ["page", "page_label", "_tie"], _bucket("page"), F.size("_chunks"), "_before")
     rows = counted.select(
         "pdf_path", "page", "page_label", "doc_hash", "doc_tag", "_before",
         F.posexplode("_chunks").alias("_no", "_c"))
@@ -85,7 +86,7 @@ def image_rows(images: DataFrame, files: DataFrame) -> DataFrame:
     rows = known.select(
         "*", *I.bbox_fields(F.col("bbox")), vid.alias("id"), body.alias("text"),
         has_text(F.col("caption")).alias("has_caption"), has_text(F.col("ocr_text")).alias("has_ocr"))
-    return keep_first(_record(rows, "pdf_images", "image"), ["id"], ["image_id"])
+    return keep_first(_record(rows, "pdf_images", "image"), ["id"], ["image_id", "png_path", "text"])
 
 
 def describe_images(images: DataFrame, captioner=None, ocr=None) -> DataFrame:
