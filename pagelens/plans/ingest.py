@@ -69,8 +69,13 @@ def text_records(pages: DataFrame, files: DataFrame, chunks: Callable[[Column],
 
 
 def table_rows(records: DataFrame, files: DataFrame) -> DataFrame:
-    """Table records (see ``sources.tables``) with ids; the table number counts over the file."""
-    numbered = running_number(records, ["pdf_path"], ["page", "table_no"], _bucket("page"))
+    """Table records (see ``sources.tables``) with ids; the table number counts over the file.
+
+    Numbering reads its input twice. Records are far smaller than the cell rows they are grouped from, so
+    they are written once instead of grouping all cells again.
+    """
+    narrow = records.drop("title", "headers", "rows", "row_count")
+    numbered = running_number(materialize(narrow, "tables"), ["pdf_path"], ["page", "table_no"], _bucket("page"))
     known = with_provenance(numbered, files).withColumn("bbox_sig", I.bbox_sig(F.col("bbox")))
     vid = I.table_id(F.col("doc_hash"), F.col("page"), F.col("bbox_sig"), F.col("position"))
     body = table_body(F.col("preview_text"), F.col("page"))
