@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 Only documents carry labels. Each sentence s has the score p(s) = sigmoid(bias + sum of the weights of its distinct
-words), a document has the noisy-or of its sentences, 1 - prod(1 - p(s)), and the weights are fitted so that the
+words and word beginnings), a document has the noisy-or of its sentences, 1 - prod(1 - p(s)), and the weights are fitted so that the
 noisy-or explains the documents' labels. The fitted sentence scores then point at the offending sentences.
 """
 
@@ -18,8 +18,12 @@ TRAIN_DOCS = 8000
 # about the label.
 LEAST_DOCS = 4
 WORDS = 4000
+# Beginnings of words that are features besides whole words, so that an unseen inflection is known by its stem.
+STEMS = (4, 5, 6)
 THRESHOLD = 0.7
-OFFENDING = 0.5
+# Penalties that keep the weights of rare words small.
+LASSO = 2e-5
+RIDGE = 1e-5
 _SPLIT = {ord(c): "\n" for c in ".!?;\n\r  。！？"}
 _BLANK = {ord(c): " " for c in "\t\x0b\x0c\"'()[]{}<>,:|*_#=+/\\~`^&%$@-—–“”‘’«»¿¡"}
 
@@ -34,10 +38,18 @@ def sentences(text: str | None) -> list[str]:
     return low.split("\n")
 
 
+def features(words: list[str]) -> set[str]:
+    """The distinct words, and their beginnings marked by a star."""
+    out = set(words)
+    for n in STEMS:
+        out.update([w[:n] + "*" for w in words if len(w) > n])
+    return out
+
+
 def fit(texts: list[str], labels: list[int], words: int = WORDS, steps: int = 300) -> tuple[dict[str, float], float]:
     """Weights and bias of the sentence score, by gradient descent on the noisy-or likelihood."""
     y = np.array(labels, float)
-    bags = [[set(s.split()) for s in sentences(t)] for t in texts]
+    bags = [[features(s.split()) for s in sentences(t)] for t in texts]
     bags = [[s for s in doc if s] or [set()] for doc in bags]
     seen: dict[str, list[int]] = {}
     for doc, label in zip(bags, labels, strict=True):
@@ -68,7 +80,7 @@ def fit(texts: list[str], labels: list[int], words: int = WORDS, steps: int = 30
         pull = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0)
         g_s = pull[doc] * p
         g = np.append(np.bincount(word, g_s[row], len(chosen)), g_s.sum()) / max(len(bags), 1)
-        g[:-1] += 2e-5 * np.sign(theta[:-1]) + 1e-5 * theta[:-1]
+        g[:-1] += LASSO * np.sign(theta[:-1]) + RIDGE * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     return {w: float(x) for w, x in zip(chosen, theta, strict=False) if abs(x) > 1e-2}, float(theta[-1])
@@ -102,20 +114,25 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], text: str = "t
     def run(batches):
         weights, bias = shared.value
         known = frozenset(weights)
+        stems = [(n, {w[:-1]: w for w in weights if len(w) == n + 1 and w[-1] == "*"}) for n in STEMS]
         base = float(np.logaddexp(0, bias))
         for batch in batches:
             scores, found = [], []
             for value in batch.column(len(names)).to_pylist():
                 total, spans, at = 0.0, [], 0
                 for s in sentences(value):
-                    hit = known.intersection(s.split())
+                    words = s.split()
+                    hit = known.intersection(words)
+                    for n, stem in stems:
+                        if stem and (some := stem.keys() & {w[:n] for w in words if len(w) > n}):
+                            hit = hit.union([stem[x] for x in some])
                     if hit:
                         x = bias + sum(weights[w] for w in sorted(hit))
                         total += float(np.logaddexp(0, x))
                         if x >= 0:
                             spans.append({"start": at, "end": at + len(s), "score": 1 / (1 + np.exp(-x))})
                     else:
-                        total += base if s and not s.isspace() else 0.0
+                        total += base if words else 0.0
                     at += len(s) + 1
                 scores.append(-float(np.expm1(-(total or base))))
                 found.append(sorted(spans, key=lambda s: (-s["score"], s["start"])))
