@@ -154,12 +154,12 @@ def report(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced by ``[KIND]``, weakly disclosing terms by ``[TERM]`` and strongly
     disclosing ones removed. The texts are stored once with their spans."""
-    kept = tuple(docs.columns)
-    plain = docs.withColumn("_copy", F.col(text))
-    found = find(plain, "_copy", kept)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_copy"))
+    found = find(rows, "_copy", ("_doc",))
 
     def instead(span: Column) -> Column:
         return F.when(span["kind"] == "remove", "").when(span["kind"] == "general", "[TERM]").otherwise(
             F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
 
-    return found.withColumn(text, replaced(F.col(text), F.concat("base", "added"), instead)).select(*kept)
+    clean = replaced(F.col("_doc").getField(text), F.concat("base", "added"), instead)
+    return found.select(F.col("_doc").withField(f"`{text}`", clean).alias("_doc")).select("_doc.*")

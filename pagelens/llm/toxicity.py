@@ -8,7 +8,6 @@ noisy-or explains the documents' labels. The fitted sentence scores then point a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,7 +66,7 @@ def fit(texts: list[str], labels: list[int], words: int = WORDS, steps: int = 30
     pairs = [(i, number[w]) for i, s in enumerate(s for doc in bags for s in doc) for w in s if w in number]
     row, word = np.array(pairs, np.int64).reshape(-1, 2).T
     doc = np.repeat(np.arange(len(bags)), [len(d) for d in bags])
-    rate = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     # Start where every document has the base rate, spread over its sentences.
     per = max(1.0, len(doc) / max(len(bags), 1))
     theta = np.zeros(len(chosen) + 1)
@@ -97,7 +96,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
         .where(~_held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    got = rows.toPandas() if docs.columns else pd.DataFrame()
+    got = rows.toPandas()
     return fit(got["text"].fillna("").tolist(), got["y"].tolist())
 
 
@@ -109,6 +108,8 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], text: str = "t
     """``keep`` columns, score (0 to 1) and ``offending``: array of (start, end, score) of the sentences that are
     toxic rather than not, by score. Null and empty texts score like a sentence without words. Whole texts, row by row."""
     names = list(keep)
+    read = names if text in names else [*names, text]
+    at_text = read.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -118,7 +119,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], text: str = "t
         base = float(np.logaddexp(0, bias))
         for batch in batches:
             scores, found = [], []
-            for value in batch.column(len(names)).to_pylist():
+            for value in batch.column(at_text).to_pylist():
                 total, spans, at = 0.0, [], 0
                 for s in sentences(value):
                     words = s.split()
@@ -141,7 +142,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], text: str = "t
                 [*batch.columns[:len(names)], pa.array(scores, pa.float64()), pa.array(found, kinds)], [*names, "score", "offending"])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text)).mapInArrow(
+    return docs.select(*read).mapInArrow(
         run, f"{kept}, score double, offending array<struct<start:int,end:int,score:double>>")
 
 
@@ -154,5 +155,7 @@ def report(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) ->
 
 def keep_clean(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The documents that score below THRESHOLD, the same columns, in one pass over their rows."""
-    marked = score(docs, learn(docs, labels, train_docs), keep=tuple(docs.columns))
-    return marked.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("_rest"), "text")
+    marked = score(rows, learn(docs, labels, train_docs), keep=("_rest", "text"))
+    return marked.where(F.col("score") < THRESHOLD).select("_rest.*", "text").select(*docs.columns)
