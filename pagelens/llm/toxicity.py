@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pagelens.session import materialize, spread
+
 # The classifier is fitted on at most this many labelled documents, the first by a hash of their id.
 TRAIN_DOCS = 8000
 # Words considered: in at least so many training documents, and of those the ones whose presence tells most
@@ -45,59 +47,93 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], words: int = WORDS, steps: int = 300) -> tuple[dict[str, float], float]:
-    """Weights and bias of the sentence score, by gradient descent on the noisy-or likelihood."""
-    y = np.array(labels, float)
-    bags = [[features(s.split()) for s in sentences(t)] for t in texts]
-    bags = [[s for s in doc if s] or [set()] for doc in bags]
-    seen: dict[str, list[int]] = {}
-    for doc, label in zip(bags, labels, strict=True):
-        for w in set().union(*doc):
-            seen.setdefault(w, [0, 0])[label] += 1
-    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-
-    def told(counts: list[int]) -> float:
-        a, b = (counts[1] + 0.5) / (n1 + 1), (counts[0] + 0.5) / (n0 + 1)
-        return abs(np.log(a / b)) * np.sqrt(min(sum(counts), 50))
-
-    often = [w for w, c in seen.items() if sum(c) >= LEAST_DOCS]
-    chosen = sorted(sorted(often, key=lambda w: (-told(seen[w]), w))[:words])
-    number = {w: i for i, w in enumerate(chosen)}
-    pairs = [(i, number[w]) for i, s in enumerate(s for doc in bags for s in doc) for w in s if w in number]
-    row, word = np.array(pairs, np.int64).reshape(-1, 2).T
-    doc = np.repeat(np.arange(len(bags)), [len(d) for d in bags])
+def fit(
+    labels: np.ndarray, sentences_of: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, words: list[str], steps: int = 300,
+) -> tuple[dict[str, float], float]:
+    """Weights and bias of the sentence score, by gradient descent on the noisy-or likelihood.
+
+    ``labels`` and ``sentences_of`` (how many sentences) go by document, ``sizes`` (how many known features) by
+    sentence; ``numbers`` are the features of all sentences in turn, places in ``words``.
+    """
+    y = labels.astype(float)
+    doc = np.repeat(np.arange(len(y)), sentences_of)
+    row = np.repeat(np.arange(len(sizes)), sizes)
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     # Start where every document has the base rate, spread over its sentences.
-    per = max(1.0, len(doc) / max(len(bags), 1))
-    theta = np.zeros(len(chosen) + 1)
+    per = max(1.0, len(doc) / max(len(y), 1))
+    theta = np.zeros(len(words) + 1)
     theta[-1] = np.log(np.expm1(-np.log1p(-rate) / per))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        s = np.bincount(row, theta[word], len(doc)) + theta[-1]
+        s = np.bincount(row, theta[numbers], len(doc)) + theta[-1]
         p = 1 / (1 + np.exp(-s))
-        total = np.bincount(doc, np.logaddexp(0, s), len(bags))  # -log of the chance that no sentence is toxic
+        total = np.bincount(doc, np.logaddexp(0, s), len(y))  # -log of the chance that no sentence is toxic
         pull = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0)
         g_s = pull[doc] * p
-        g = np.append(np.bincount(word, g_s[row], len(chosen)), g_s.sum()) / max(len(bags), 1)
+        g = np.append(np.bincount(numbers, g_s[row], len(words)), g_s.sum()) / max(len(y), 1)
         g[:-1] += LASSO * np.sign(theta[:-1]) + RIDGE * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    return {w: float(x) for w, x in zip(chosen, theta, strict=False) if abs(x) > 1e-2}, float(theta[-1])
+    return {w: float(x) for w, x in zip(words, theta, strict=False) if abs(x) > 1e-2}, float(theta[-1])
+
+
+def _count_features(batches):
+    """(feature, n0, n1): documents of either label that have it, pre-aggregated in the task."""
+    seen: dict[str, list[int]] = {}
+    for batch in batches:
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own: set[str] = set()
+            for s in sentences(text):
+                own.update(features(s.split()))
+            for f in own:
+                seen.setdefault(f, [0, 0])[label] += 1
+    counts = [pa.array([n[k] for n in seen.values()], pa.int64()) for k in (0, 1)]
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *counts], ["feature", "n0", "n1"])
+
+
+def _encoder(shared):
+    def run(batches):
+        number = shared.value
+        for batch in batches:
+            sizes, numbers = [], []
+            for text in batch.column(1).to_pylist():
+                found = [sorted(number[f] for f in features(words) if f in number) for s in sentences(text) if (words := s.split())]
+                found = found or [[]]
+                sizes.append([len(x) for x in found])
+                numbers.append([n for x in found for n in x])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, kind), pa.array(numbers, kind)], ["y", "sizes", "numbers"])
+
+    return run
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[str, float], float]:
-    """Fit on labelled documents whose crc32(doc_id as text) mod 3 is not 1.
+    """Fit on labelled documents whose crc32(doc_id as text) mod 3 is not 1, at most ``train_docs`` of them.
 
-    Rows of labels with a null id or label are left out, of repeated ones the largest label counts. At most
-    ``train_docs`` texts reach the driver.
+    Rows of labels with a null id or label are left out, of repeated ones the largest label counts. Texts stay
+    on the executors: tasks count features and number those of each sentence, and the driver gets the WORDS chosen
+    features and the numbers.
     """
     chosen = (
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
         .where(~_held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    got = rows.toPandas()
-    return fit(got["text"].fillna("").tolist(), got["y"].tolist())
+    rows = materialize(spread(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")), "training")
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    n0, n1 = (float(n.get(k, 0)) for k in (0, 1))
+    counts = rows.mapInArrow(_count_features, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.expr(f"n0 + n1 >= {LEAST_DOCS}"))
+    lift = F.log((F.col("n1") + 0.5) / (n1 + 1) / ((F.col("n0") + 0.5) / (n0 + 1)))
+    told = F.abs(lift) * F.sqrt(F.least(F.expr("n0 + n1"), F.lit(50)))
+    words = sorted(r["feature"] for r in counts.orderBy(told.desc(), "feature").limit(WORDS).select("feature").collect())
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    got = rows.mapInArrow(_encoder(shared), "y int, sizes array<int>, numbers array<int>").toArrow()
+
+    def flat(column: str) -> np.ndarray:
+        return got.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    order = [len(x) for x in got.column("sizes")]
+    return fit(got.column("y").to_numpy(), np.array(order, np.int64), flat("sizes"), flat("numbers"), words)
 
 
 def _held_out(name: str):
