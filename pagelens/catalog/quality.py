@@ -12,8 +12,10 @@ from pagelens.functions.text import char_count
 from pagelens.operators.evaluation import (
     answer_relevancy, faithfulness, judge_by_words, ordered_contexts, samples, score_measurements, scores, shown,
 )
+from pagelens.operators.inference import generate
 from pagelens.operators.search import retrieve, with_records
 from pagelens.operators.series import series_stats
+from pagelens.plans.answer import evaluate
 
 
 @query("context_list", f"""WITH {R.hits_sql(R.L2_SQL)}
@@ -120,22 +122,67 @@ def eval_summary(spark, sf_dir):
     return stats.select("metric", "n", *rounded, F.col("n_flagged").alias("n_low"), quality_band(F.col("avg_value")).alias("band"))
 
 
-_REPLY = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("note", T.StringType(), True)])
+_REPLY = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("note", T.StringType(), True), T.StructField("size", T.IntegerType(), True)])
 
 
-@query("response_validate", """SELECT event_id, event_id % 10 > 2 AS valid,
+@query("response_validate", """SELECT event_id, event_id % 10 > 5 AS valid,
   CASE event_id % 10 WHEN 0 THEN concat('Sure: ', props) WHEN 1 THEN replace(props, '}', '') WHEN 2 THEN replace(props, '"k"', '"n"')
+    WHEN 3 THEN concat(props, ' and ', props) WHEN 4 THEN concat(props, props) WHEN 5 THEN replace(props, '}', ', "size": "large"}')
     ELSE replace(props, ' ', '') END AS response FROM events""")
 def response_validate(spark, sf_dir):
     case = F.col("event_id") % 10
     raw = (
         F.when(case == 0, F.concat(F.lit("Sure: "), "props")).when(case == 1, F.replace("props", F.lit("}"), F.lit("")))
-        .when(case == 2, F.replace("props", F.lit('"k"'), F.lit('"n"'))).otherwise(F.col("props"))
+        .when(case == 2, F.replace("props", F.lit('"k"'), F.lit('"n"')))
+        .when(case == 3, F.concat("props", F.lit(" and "), "props")).when(case == 4, F.concat("props", "props"))
+        .when(case == 5, F.replace("props", F.lit("}"), F.lit(', "size": "large"}'))).otherwise(F.col("props"))
     )
     return table(spark, sf_dir, "events").select("event_id", checked_response(raw, _REPLY).alias("r")).select(
         "event_id", "r.valid", "r.response")
 
 
+# A model that answers with JSON, sometimes with words around it: the schema is checked on its answers.
+@query("generate_schema", """SELECT event_id, event_id % 4 <> 0 AS valid,
+  CASE WHEN event_id % 4 = 0 THEN concat('Here: ', props) ELSE replace(props, ' ', '') END AS answer FROM events WHERE event_type = 'error'""")
+def generate_schema(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").where("event_type = 'error'").select(
+        "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "props").alias("prompt"))
+
+    def model(prompt):
+        number, props = prompt.split("|", 1)
+        return props if int(number) % 4 else f"Here: {props}"
+
+    return generate(asked, model, schema=_REPLY).select("event_id", "valid", "answer")
+
+
+# The whole evaluation with stand-in models: every sentence is a claim, long ones count as supported; the judge
+# refuses answers with the letter sequence "ou". Vectors are two counts of the text.
+@query("evaluate_answers", f"""WITH {SAMPLES_SQL},
+state AS (SELECT qid, question, answer, CASE WHEN answer IS NULL THEN 'no answer' WHEN contains(answer, 'ou') THEN 'ValueError: refused' END AS error FROM samples),
+claims AS (SELECT qid, avg(CASE WHEN length(c) > 40 THEN 1.0 ELSE 0.0 END) AS f FROM (
+  SELECT qid, unnest(string_split(answer, '.')) AS c FROM state WHERE error IS NULL) WHERE length(c) > 0 GROUP BY qid),
+made AS (SELECT qid, question, unnest([answer[1:12], answer[-7:]]) AS g FROM state WHERE error IS NULL),
+near AS (SELECT qid, avg((length(question) * length(g) + 1.0 + length(replace(question, 'e', '')) * length(replace(g, 'e', ''))) /
+  (sqrt(length(question) ^ 2 + 1.0 + length(replace(question, 'e', '')) ^ 2) * sqrt(length(g) ^ 2 + 1.0 + length(replace(g, 'e', '')) ^ 2))) AS r FROM made GROUP BY qid)
+SELECT qid, round(f, 6) AS faithfulness, round(r, 6) AS answer_relevancy, error IS NULL AND f IS NOT NULL AND r IS NOT NULL AS ok, error
+FROM state LEFT JOIN claims USING (qid) LEFT JOIN near USING (qid)""")
+def evaluate_answers(spark, sf_dir):
+    questions = R.user_questions(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "text")
+    hits = questions.select("qid", F.expr("qid div 1000").alias("conv_id")).join(docs, "conv_id").select("qid", "text", F.lit(1).alias("pos"))
+
+    def judge(question, answer, contexts):
+        if "ou" in answer:
+            raise ValueError("refused")
+        return [len(c) > 40 for c in answer.split(".") if c]
+
+    def embed(text):
+        return F.array(F.length(text).cast("double"), F.lit(1.0), F.length(F.replace(text, F.lit("e"), F.lit(""))).cast("double"))
+
+    scored = evaluate(questions, R.given_answers(spark, sf_dir), hits, judge=judge, question_model=lambda a: [a[:12], a[-7:]], embed=embed)
+    return scored.select("qid", F.round("faithfulness", 6).alias("faithfulness"), F.round("answer_relevancy", 6).alias("answer_relevancy"), "ok", "error")
+
+
 @query("prompt_lengths", f"WITH {SAMPLES_SQL} SELECT qid, CAST(length(question) AS INTEGER) AS prompt_chars, CAST(coalesce(length(answer), 0) AS INTEGER) AS response_chars FROM samples")
 def prompt_lengths(spark, sf_dir):
     asked = R.user_questions(spark, sf_dir).join(R.given_answers(spark, sf_dir), "qid", "left")

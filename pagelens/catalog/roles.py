@@ -89,7 +89,7 @@ tables AS (
          count(*) AS row_count, list(cells ORDER BY row_no) AS all_rows
   FROM item_rows GROUP BY l_orderkey),
 records AS (
-  SELECT *, printf('tbl-%04d-%02d', page, table_no) AS table_id,
+  SELECT *, printf('tbl-%04d-%02d-%s', page, table_no, sha256(pdf_path)[1:8]) AS table_id,
          concat('Table. Headers: line | part | quantity | price | flag. Example rows: ',
                 array_to_string(all_rows[1], ' | '),
                 CASE WHEN row_count > 1 THEN concat(' ; ', array_to_string(all_rows[2], ' | ')) ELSE '' END) AS preview_text,

@@ -43,15 +43,15 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def not_indexed(incoming: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
-    """Only rows whose ``doc_hash`` no stored record carries; reads one stored column."""
-    return incoming if force else incoming.join(stored.select("doc_hash"), "doc_hash", "left_anti")
+    """Only rows whose ``doc_hash`` no stored record carries; reads one stored column. A document of very many
+    records is one hash per task before the shuffle."""
+    return incoming if force else incoming.join(stored.select("doc_hash").distinct(), "doc_hash", "left_anti")
 
 
 def indexed_flags(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Distinct incoming hashes with ``already_indexed``."""
-    # left_anti/left_semi stop at the first match, so a hash with a billion stored records is no skew.
     wanted = incoming.select("doc_hash").distinct()
-    known = wanted.join(stored.select("doc_hash"), "doc_hash", "left_semi").withColumn("_known", F.lit(True))
+    known = wanted.join(stored.select("doc_hash").distinct(), "doc_hash", "left_semi").withColumn("_known", F.lit(True))
     return (
         wanted.join(known, "doc_hash", "left")
         .select("doc_hash", F.coalesce("_known", F.lit(False)).alias("already_indexed"))

@@ -18,19 +18,21 @@ def running_total(
     A plain window over ``group`` would sort a whole group in one task. Here ``bucket`` (an
     expression that never falls as ``order`` rises, e.g. ``page div 10000``) splits each group:
     totals per bucket are pre-aggregated and summed up over the few buckets, and the windows over
-    rows run per bucket. Group columns must not be null.
+    rows run per bucket. Group and bucket travel as one struct, in which nulls equal each other: rows
+    whose group, order or bucket is null are numbered like any others (nulls first).
     """
-    keys = [*group, "_bucket"]
-    rows = df.withColumn("_bucket", bucket).withColumn("_weight", weight.cast("bigint"))
-    earlier_buckets = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(*group, bucket.alias("_bucket"))
+    rows = df.withColumn("_key", key).withColumn("_weight", weight.cast("bigint"))
+    whole = F.struct(*[F.col("_key").getField(g) for g in group])
+    earlier_buckets = Window.partitionBy(whole).orderBy("_key._bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*keys).agg(F.sum("_weight").alias("_sum"))
-        .select(*keys, F.coalesce(F.sum("_sum").over(earlier_buckets), F.lit(0)).alias("_offset"))
+        rows.groupBy("_key").agg(F.sum("_weight").alias("_sum"))
+        .select("_key", F.coalesce(F.sum("_sum").over(earlier_buckets), F.lit(0)).alias("_offset"))
     )
-    earlier_rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier_rows = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum("_weight").over(earlier_rows), F.lit(0)))
     return (
-        local.join(offsets, keys)
+        local.join(offsets, "_key")
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .select(*df.columns, name)
     )

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from pagelens.operators.numbering import running_total
+
+RANGES = 1024
 
 
 def series_stats(
@@ -13,14 +17,19 @@ def series_stats(
     """Per series: n, avg_value, median_value, min_value, max_value and n_flagged (rows where ``flag``,
     an expression over the series and value columns, holds).
 
-    Equal values are counted before any shuffle, so what is ordered per series are its distinct
-    values (a few thousand for seconds and scores with two to four decimals), by a sort that can
-    spill. The median is exact. A series of nulls only has its count.
+    Equal values are counted before any shuffle, and each series' range is cut into RANGES equal parts: counts
+    per part are summed up first and values are ordered inside their part only, so a series of very many distinct
+    values is spread over many tasks. The median is exact. A series of nulls only has its count.
     """
     distinct = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = distinct.withColumn("_to", F.sum("_n").over(upto)).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*by)))
+    spans = values.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_total"))
+    placed = distinct.join(spans, list(by))
+    # Never falls as the value rises; NaN is the greatest double and goes last.
+    share = (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0))
+    part = F.when(F.isnan(F.col(value).cast("double")), RANGES + 1).when(F.col(value).isNotNull(), F.coalesce(
+        F.least(F.floor(F.nanvl(share.cast("double"), F.lit(0.0)) * RANGES), F.lit(RANGES)), F.lit(0))).cast("int")
+    before = running_total(placed, by, [value], part, F.col("_n"), "_before")
+    ranked = before.withColumn("_to", F.col("_before") + F.col("_n"))
 
     def holds(rank: str) -> Column:
         return F.max(F.when(F.expr(f"_to - _n < {rank} and {rank} <= _to"), F.col(value)))

@@ -15,10 +15,10 @@ from pagelens.operators.embedding import hashed_words
 from pagelens.operators.identity import keep_first, not_indexed
 from pagelens.operators.inference import caption, recognise_text
 from pagelens.operators.numbering import running_number, running_total
-from pagelens.session import materialize
+from pagelens.session import materialize, spread
 from pagelens.sources.files import cap_pages
 from pagelens.sources.store import RecordStore
-from pagelens.sources.tables import table_records
+from pagelens.sources.tables import table_records, write_sidecars, write_table_csv
 
 Embedder = Callable[[Column], Column]
 # Pages (or table pages) of one file that a single task numbers; a longer file uses several tasks.
@@ -29,14 +29,25 @@ def _bucket(page: str) -> Column:
     return F.expr(f"{page} div {PAGES_PER_BUCKET}")
 
 
-def with_provenance(rows: DataFrame, files: DataFrame) -> DataFrame:
+def with_provenance(rows: DataFrame, files: DataFrame, strict: bool = True) -> DataFrame:
     """Add each file's hash and tag. ``files`` is (pdf_path, doc_hash); Spark broadcasts it when its
-    measured size is small and shuffles by path otherwise."""
+    measured size is small and shuffles by path otherwise. A row of a file that ``files`` lacks is an error;
+    if not ``strict``, such rows are left out on purpose."""
     tag = F.coalesce(F.nullif(F.col("doc_tag"), F.lit("")), file_stem(F.col("pdf_path")))
     if "doc_hash" in rows.columns:  # attached earlier
         return rows
     known = files if "doc_tag" in files.columns else files.withColumn("doc_tag", F.lit(None).cast("string"))
-    return rows.join(known.select("pdf_path", "doc_hash", tag.alias("doc_tag")), "pdf_path")
+    narrow = known.select("pdf_path", "doc_hash", tag.alias("doc_tag"))
+    if not strict:
+        return rows.join(narrow, "pdf_path")
+    lost = F.raise_error(F.concat(F.lit("no such file is listed: "), F.coalesce("pdf_path", F.lit("null"))))
+    return rows.join(narrow, "pdf_path", "left").withColumn("doc_hash", F.coalesce("doc_hash", lost.cast("string")))
+
+
+def with_paths(files: DataFrame) -> DataFrame:
+    """The files; one without a path is an error when it is read."""
+    given = F.when(F.length("pdf_path") > 0, F.col("pdf_path")).otherwise(F.raise_error(F.lit("a file needs a path")).cast("string"))
+    return files.withColumn("pdf_path", given)
 
 
 def _record(df: DataFrame, collection: str, kind: str) -> DataFrame:
@@ -74,7 +85,7 @@ def table_rows(records: DataFrame, files: DataFrame) -> DataFrame:
     Numbering reads its input twice. Records are far smaller than the cell rows they are grouped from, so
     they are written once instead of grouping all cells again.
     """
-    narrow = records.drop("title", "headers", "rows", "row_count")
+    narrow = records.drop("title", "headers", "first_rows", "row_count")
     numbered = running_number(materialize(narrow, "tables"), ["pdf_path"], ["page", "table_no"], _bucket("page"))
     known = with_provenance(numbered, files).withColumn("bbox_sig", I.bbox_sig(F.col("bbox")))
     vid = I.table_id(F.col("doc_hash"), F.col("page"), F.col("bbox_sig"), F.col("position"))
@@ -137,7 +148,7 @@ def ingest_stats(
 
 def all_records(ingested: dict[str, DataFrame | None], files: DataFrame, embed: Embedder | None = None) -> DataFrame:
     """Records of all modalities with vectors."""
-    known = files.where(F.length("pdf_path") > 0)
+    known = with_paths(files)
     made = []
     if ingested.get("text") is not None:
         made.append(text_records(ingested["text"], known))
@@ -150,23 +161,34 @@ def all_records(ingested: dict[str, DataFrame | None], files: DataFrame, embed:
     records = made[0]
     for more in made[1:]:
         records = records.unionByName(more)
-    return records.withColumn("embedding", (embed or hashed_words())(F.col("text"))).select(*RECORDS.names)
+    return spread(records).withColumn("embedding", (embed or hashed_words())(F.col("text"))).select(*RECORDS.names)
 
 
 def index_files(
     store: RecordStore, files: DataFrame, *, embed: Embedder | None = None, force: bool = False,
-    batch: int | None = None, **branches,
+    batch: int | None = None, artifact_root: str | None = None, **branches,
 ) -> DataFrame:
     """Ingest files whose content no stored record has, and store their records as one batch.
-    Returns the per-file counts. Known files drop out before any splitting, captioning or embedding."""
+    Returns the per-file counts. Known files drop out before any splitting, captioning or embedding.
+
+    With an ``artifact_root``, the tables' CSV lines and JSON records are written below it, in a folder of this
+    batch, where the records' csv_path and json_path say.
+    """
+    if artifact_root is not None:
+        batch = store.next_batch() if batch is None else batch
+        branches["artifact_dir"] = f"{artifact_root}/batch={batch}"
     before = store.current(batch) if batch is not None else store.current()
     # One file per content, so that the ids of this batch are unique.
     # Written once: it decides for every branch, and its size then tells Spark what may be broadcast.
-    narrow = files.select(*[c for c in ("pdf_path", "doc_hash", "doc_tag") if c in files.columns])
+    narrow = with_paths(files).select(*[c for c in ("pdf_path", "doc_hash", "doc_tag") if c in files.columns])
     fresh = materialize(keep_first(not_indexed(narrow, before, force), ["doc_hash"], ["pdf_path"]), "fresh")
-    wanted = {n: with_provenance(branches[n], fresh) for n in ("pages", "images") if branches.get(n) is not None}
+    wanted = {n: with_provenance(branches[n], fresh, strict=False) for n in ("pages", "images") if branches.get(n) is not None}
     if branches.get("cells") is not None:  # cell rows are narrowed here and get their file's hash as records
         wanted["cells"] = branches["cells"].join(fresh.select("pdf_path"), "pdf_path", "left_semi")
     ingested = ingest(**{**branches, **wanted})
+    if artifact_root is not None and ingested["tables"] is not None:
+        cells = cap_pages(wanted["cells"], branches.get("num_pages"), F.col("page"))
+        write_table_csv(cells, branches["artifact_dir"])
+        write_sidecars(ingested["tables"], branches["artifact_dir"])
     store.append(all_records(ingested, fresh, embed), batch, unique=True)
     return ingested["stats"]

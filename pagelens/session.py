@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,9 +15,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Grouped lists here are bounded (a few rows per table, question or page bucket), so many groups may
-    # be hashed before aggregation falls back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # Vectors and page texts are wide: smaller Arrow batches keep a Python worker's memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
@@ -31,10 +30,9 @@ def build_session(app: str = "pagelens", master: str | None = None, **conf: str)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that a session built elsewhere needs as well. Log times carry no zone; reading them as
+    """The setting that a session built elsewhere needs as well. Log times carry no zone; reading them as
     UTC keeps results equal on every cluster."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"):
-        spark.conf.set(key, DEFAULTS[key])
+    spark.conf.set("spark.sql.session.timeZone", DEFAULTS["spark.sql.session.timeZone"])
     return spark
 
 
@@ -44,15 +42,38 @@ _own_root: dict[str, str] = {}
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
+    Only a local session without that setting (tests, a laptop) gets a folder of its own; on a cluster its
+    executors would write to their own disks, so there the setting is asked for.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share (master is {master})")
         app = spark.sparkContext.applicationId
         root = _own_root.setdefault(app, tempfile.mkdtemp(prefix="pagelens-"))
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to a folder of its own. Results that still read from it must have been
+    used; a shared ``spark.checkpoint.dir`` is its owner's to clear."""
+    root = _own_root.pop(spark.sparkContext.applicationId, None)
+    if root:
+        shutil.rmtree(root, ignore_errors=True)
+
+
+def spread(df: DataFrame, tasks: int | None = None, small_mb: int = 16) -> DataFrame:
+    """Rows dealt over all cores, for slow Python behind it. Input that Spark estimates at more than
+    ``small_mb`` for each core comes in enough partitions already and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if tasks is None:
+        estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if estimate > cores * small_mb * 2 ** 20:
+            return df
+    return df.repartition(tasks or cores)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: computed once, lineage cut,
     and still there when an executor is lost."""

@@ -1,56 +1,79 @@
-"""Extracted tables: cell rows in, one record per table out, artifacts to files."""
+"""Extracted tables: cell rows in; one record per table, every row beside it, artifacts in packed files.
+
+An artifact's path is ``<folder>/bucket=<hh>#<table id>``: the folder holds the artifacts of many tables, so a million
+tables are at most 256 folders, and the part behind ``#`` picks one. What a record names is what the writers write.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagelens.functions.text import clean_cells, file_stem, table_preview
+from pagelens.functions.text import clean_cells, table_preview
 
 SAMPLE_ROWS = 10
 KEY = ("pdf_path", "page", "table_no")
 
 
+def path_mark(path: Column, digits: int = 8) -> Column:
+    """Hex digits that tell files of one name in different folders apart."""
+    return F.substring(F.sha2(F.coalesce(path, F.lit("")), 256), 1, digits)
+
+
+def table_name() -> Column:
+    """Unique over all files: page, number on the page, mark of the file. A null page or number is 0."""
+    page, number = (F.coalesce(F.col(c), F.lit(0)) for c in ("page", "table_no"))
+    return F.format_string("tbl-%04d-%02d-%s", page, number, path_mark(F.col("pdf_path")))
+
+
+def artifact_path(root: str, kind: str, path: Column, name: Column) -> Column:
+    return F.concat(F.lit(f"{root}/{kind}/bucket="), path_mark(path, 2), F.lit("#"), name)
+
+
 def table_records(cells: DataFrame, artifact_dir: str = "artifacts", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One record per table: headers, its first data rows, row count, preview and artifact paths.
+    """One record per table: headers, row count, preview, artifact paths, and ``first_rows`` for the JSON sidecar.
 
-    ``row_no`` counts from 0 (the headers) without gaps. Only the header and the first
-    ``sample_rows`` data rows enter a record, so a table of any length needs a few rows of memory and
-    is pre-aggregated before the shuffle; all rows stay in ``cells`` and go to the CSV artifact.
-    Tables without rows do not occur in ``cells`` and hence have no record.
+    ``row_no`` counts from 0 (the headers) without gaps; a null row is an empty one. All data rows are the
+    record's companion :func:`table_rows`: a table of any length must not become one value, so only the header and
+    the first ``sample_rows`` rows enter the record, pre-aggregated before the shuffle. Tables without
+    rows, or whose rows are all null, have no record.
     """
-    head = F.when(F.col("row_no") <= sample_rows, F.struct("row_no", clean_cells(F.col("cells")).alias("cells")))
-    grouped = cells.where(F.col("cells").isNotNull()).groupBy(*KEY).agg(
+    head = F.when(F.col("row_no") <= sample_rows, F.struct("row_no", _row().alias("cells")))
+    grouped = cells.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(head)).alias("_rows"),
         (F.count(F.lit(1)) - 1).alias("row_count"),
-        F.min("bbox").alias("bbox"),
-    )
-    name = F.format_string("tbl-%04d-%02d", "page", "table_no")
-    folder = F.concat(F.lit(f"{artifact_dir}/tables/"), file_stem(F.col("pdf_path")), F.lit("/"), name)
+        F.min("bbox").alias("bbox"), F.count("cells").alias("_given"),
+    ).where("_given > 0")
     rows = F.transform("_rows", lambda r: r["cells"])
-    title = F.lit(None).cast("string")
     return (
         grouped.withColumn("_all", rows)
         .select(
-            name.alias("table_id"), *KEY, "bbox", title.alias("title"),
+            table_name().alias("table_id"), *KEY, "bbox", F.lit(None).cast("string").alias("title"),
             F.get("_all", F.lit(0)).alias("headers"),
-            F.slice("_all", F.lit(2), F.lit(sample_rows)).alias("rows"),
+            F.slice("_all", F.lit(2), F.lit(sample_rows)).alias("first_rows"),
             F.col("row_count").cast("int").alias("row_count"),
-            F.concat(folder, F.lit(".csv")).alias("csv_path"),
-            F.concat(folder, F.lit(".json")).alias("json_path"),
+            artifact_path(artifact_dir, "tables", F.col("pdf_path"), table_name()).alias("csv_path"),
+            artifact_path(artifact_dir, "records", F.col("pdf_path"), table_name()).alias("json_path"),
         )
         .withColumn("preview_text", table_preview(
-            F.col("title"), F.col("headers"), F.get("rows", F.lit(0)), F.get("rows", F.lit(1))))
+            F.col("title"), F.col("headers"), F.get("first_rows", F.lit(0)), F.get("first_rows", F.lit(1))))
     )
 
 
+def _row() -> Column:
+    return F.coalesce(clean_cells(F.col("cells")), F.array().cast("array<string>"))
+
+
+def table_rows(cells: DataFrame) -> DataFrame:
+    """Every data row of every table, cleaned: table_id, the key, row_no (from 1) and cells."""
+    return cells.where(F.col("row_no") > 0).select(table_name().alias("table_id"), *KEY, "row_no", _row().alias("cells"))
+
+
 def csv_rows(cells: DataFrame) -> DataFrame:
     """The lines of each table's CSV artifact, header first."""
-    cell = F.transform(clean_cells(F.col("cells")), lambda c: F.when(
+    cell = F.transform(_row(), lambda c: F.when(
         c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
-    return cells.where(F.col("cells").isNotNull()).select(
-        file_stem(F.col("pdf_path")).alias("stem"),
-        F.format_string("tbl-%04d-%02d", "page", "table_no").alias("table_id"),
-        "row_no",
+    return cells.select(
+        path_mark(F.col("pdf_path"), 2).alias("bucket"), table_name().alias("table_id"), "row_no",
         # A lone empty cell is quoted, so that its row is not an empty line.
         F.when((F.size(cell) == 1) & (F.get(cell, F.lit(0)) == ""), '""')
         .otherwise(F.array_join(cell, ",")).alias("value"),
@@ -58,26 +81,33 @@ def csv_rows(cells: DataFrame) -> DataFrame:
 
 
 def write_table_csv(cells: DataFrame, out_dir: str, rows_per_part: int = 1_000_000) -> None:
-    """``tables/stem=…/table_id=…/part-*.csv``: header row 0, then the data rows in order.
+    """The CSV lines of all tables, packed: ``tables/bucket=hh`` holds (table_id, row_no, value) in order.
 
-    A table longer than ``rows_per_part`` rows is written as several ordered parts by several tasks.
+    A table longer than ``rows_per_part`` rows is written in several files by several tasks.
     """
-    lines = csv_rows(cells).withColumn("part", F.expr(f"row_no div {rows_per_part}"))
+    lines = csv_rows(cells).withColumn("_part", F.expr(f"row_no div {rows_per_part}"))
     (
-        lines.repartition("stem", "table_id", "part").sortWithinPartitions("stem", "table_id", "part", "row_no")
-        .select("stem", "table_id", "part", "value")
-        .write.option("lineSep", "\r\n").partitionBy("stem", "table_id", "part").text(f"{out_dir}/tables")
+        lines.repartition("bucket", "_part").sortWithinPartitions("bucket", "table_id", "row_no")
+        .drop("_part").write.partitionBy("bucket").parquet(f"{out_dir}/tables")
     )
 
 
+def read_artifact(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the table artifact that a record names: its folder's rows of its table, in any order."""
+    folder, name = path.rsplit("#", 1)
+    kind = folder.rsplit("/", 2)[-2]
+    rows = spark.read.parquet(folder) if kind == "tables" else spark.read.json(folder)
+    return rows.where(F.col("table_id") == name)
+
+
 def sidecar(records: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The JSON artifact: the whole record with its first rows only."""
-    return records.withColumn("rows", F.slice("rows", 1, sample_rows))
+    return records.withColumn("rows", F.slice("first_rows", 1, sample_rows)).drop("first_rows")
 
 
 def write_sidecars(records: DataFrame, out_dir: str, sample_rows: int = SAMPLE_ROWS) -> None:
+    """``records/bucket=hh``: one JSON line per table."""
     (
-        sidecar(records, sample_rows).withColumn("kind", F.lit("tables"))
-        .withColumn("stem", file_stem(F.col("pdf_path")))
-        .write.option("ignoreNullFields", "false").partitionBy("kind", "stem").json(f"{out_dir}/records")
+        sidecar(records, sample_rows).withColumn("bucket", path_mark(F.col("pdf_path"), 2))
+        .write.option("ignoreNullFields", "false").partitionBy("bucket").json(f"{out_dir}/records")
     )

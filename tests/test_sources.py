@@ -60,10 +60,11 @@ def test_pages_from_rows(spark):
 def test_sidecars(spark, tmp_path):
     cells = spark.createDataFrame([("d/a.pdf", 1, 0, i, [f"r{i}"], None) for i in range(30)], TABLE_CELLS)
     write_sidecars(table_records(cells, "art"), str(tmp_path))
-    (file,) = tmp_path.glob("records/kind=tables/stem=a/*.json")
+    (file,) = tmp_path.glob("records/bucket=*/*.json")
     record = json.loads(file.read_text())
     assert record["rows"] == [[f"r{i}"] for i in range(1, 11)] and record["headers"] == ["r0"] and record["row_count"] == 29
-    assert record["title"] is None and record["bbox"] is None and record["csv_path"] == "art/tables/a/tbl-0001-00.csv"
+    assert record["title"] is None and record["bbox"] is None and record["csv_path"].startswith("art/tables/bucket=")
+    assert record["csv_path"].endswith("#" + record["table_id"]) and record["table_id"].startswith("tbl-0001-00-")
 
 
 def test_ask_a_stored_collection(spark, tmp_path):

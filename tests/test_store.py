@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens.model import IMAGES, PAGES, RECORDS, TABLE_CELLS
-from pagelens.plans.ingest import all_records, index_files, ingest
+from pagelens.plans.ingest import all_records, index_files, ingest, table_rows as stored_rows
 from pagelens.sources.store import RecordStore
-from pagelens.sources.tables import csv_rows, table_records, write_table_csv
+from pagelens.sources.tables import csv_rows, read_artifact, table_records, table_rows, write_table_csv
 
 
 def records(spark, rows):
@@ -126,12 +126,28 @@ def test_table_of_one_huge_group(spark):
         F.lit("f.pdf").alias("pdf_path"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), F.col("id").cast("int").alias("row_no"),
         F.array(F.col("id").cast("string")).alias("cells"), F.lit(None).cast(TABLE_CELLS["bbox"].dataType).alias("bbox"))
     record = table_records(rows.repartition(4)).first()
-    assert record.row_count == 4999 and record.headers == ["0"] and [r[0] for r in record.rows] == [str(i) for i in range(1, 11)]
+    assert record.row_count == 4999 and record.headers == ["0"] and [r[0] for r in record.first_rows] == [str(i) for i in range(1, 11)]
 
 
 def test_csv_artifact(spark, tmp_path):
     _, cells, _, _ = sample(spark)
     write_table_csv(cells, str(tmp_path), rows_per_part=2)
-    parts = sorted(tmp_path.glob("tables/stem=a/table_id=tbl-0001-00/part=*/*.txt"))
-    assert [p.read_bytes() for p in parts] == [b'h1,\r\n1,"x,y"\r\n', b'"say ""no""",2\r\n']
-    assert {r.value for r in csv_rows(cells).where("table_id = 'tbl-0002-01'").collect()} == {'""'}
+    for record in table_records(cells, str(tmp_path)).collect():
+        want = csv_rows(cells).where(F.col("table_id") == record.table_id)
+        got = read_artifact(spark, record.csv_path).orderBy("row_no").collect()
+        assert [r.value for r in got] == [r.value for r in want.orderBy("row_no").collect()] and got
+        if record.table_id.startswith("tbl-0001-00") and record.pdf_path == "in/a.pdf":
+            assert [r.value for r in got] == ["h1,", '1,"x,y"', '"say ""no""",2']
+    assert {r.value for r in csv_rows(cells).where("table_id like 'tbl-0002-01%'").collect()} == {'""'}
+
+
+def test_no_table_row_is_lost(spark):
+    rows = [("a/x.pdf", 1, 0, i, None if i in (0, 3, 4) else [f"a{i}"], None) for i in range(15)]
+    rows += [("b/x.pdf", 1, 0, i, [f"b{i}"], None) for i in range(3)] + [(None, None, None, i, [f"n{i}"], None) for i in range(2)]
+    cells = spark.createDataFrame(rows, TABLE_CELLS)
+    got = {r.pdf_path: r for r in table_records(cells).collect()}
+    assert got["a/x.pdf"].headers == [] and got["a/x.pdf"].row_count == 14 and len(got["a/x.pdf"].first_rows) == 10
+    assert got[None].headers == ["n0"] and len({r.table_id for r in got.values()}) == 3
+    assert table_rows(cells).count() == 14 + 2 + 1
+    files = spark.createDataFrame([("a/x.pdf", "1" * 64), ("b/x.pdf", "2" * 64)], "pdf_path string, doc_hash string")
+    assert stored_rows(table_records(cells.where("pdf_path is not null")), files).count() == 2
