@@ -9,8 +9,8 @@ from pagelens.catalog.registry import query
 from pagelens.functions import logs as L
 from pagelens.plans import log_analysis as A
 from pagelens.session import scratch_path
-from pagelens.sources.logs import latest_log
-from pagelens.streaming.monitors import error_lines
+from pagelens.sources.logs import latest_log, read_logs, stream_logs
+from pagelens.streaming.monitors import error_lines, run_windows, windowed_counts
 
 W = f"WITH {R.LOGS_SQL}"
 
@@ -204,7 +204,6 @@ def slo_status(spark, sf_dir):
     return A.slo_status(_facts(spark, sf_dir)).select("metric", *_rounded("value"), "status")
 
 
-# The report's tallies; its list of last errors is the query recent_errors.
 @query("log_report", W + """,
 tall AS (SELECT 'levels' AS section, level AS item, NULL::DOUBLE AS v FROM facts WHERE level IS NOT NULL
   UNION ALL SELECT 'timings', operation, seconds FROM facts_s WHERE seconds IS NOT NULL AND operation IN ('api', 'retrieval', 'evaluation')
@@ -221,9 +220,11 @@ l AS (SELECT section, item, 'count' AS measure, n AS value FROM p UNION ALL SELE
   UNION ALL SELECT section, item, 'flagged', f FROM p WHERE section IN ('timings', 'scores'))
 SELECT section, item, measure, round(CAST(value AS DOUBLE), 6) AS value, CASE section
   WHEN 'scores' THEN (SELECT CASE WHEN a >= 0.9 THEN 'Excellent' WHEN a >= 0.7 THEN 'Good' WHEN a >= 0.5 THEN 'Fair' ELSE 'Poor' END FROM p WHERE p.section = l.section AND p.item = l.item)
-  WHEN 'errors' THEN (SELECT CASE WHEN pct < 1 THEN 'Excellent' WHEN pct < 5 THEN 'Good' ELSE 'High' END FROM p WHERE p.section = 'errors') END AS note FROM l""")
+  WHEN 'errors' THEN (SELECT CASE WHEN pct < 1 THEN 'Excellent' WHEN pct < 5 THEN 'Good' ELSE 'High' END FROM p WHERE p.section = 'errors') END AS note FROM l
+UNION ALL SELECT 'recent errors', CASE WHEN length(message) > 100 THEN message[1:100] || '...' ELSE message END, 'count', 1.0, NULL
+FROM (SELECT * FROM facts WHERE is_error ORDER BY ts DESC, file DESC, line_no DESC LIMIT 5)""")
 def log_report(spark, sf_dir):
-    return A.report(_facts(spark, sf_dir)).where("section <> 'recent errors'").select(
+    return A.report(_facts(spark, sf_dir), tie_break="line_no").select(
         "section", "item", "measure", *_rounded("value"), "note")
 
 
@@ -238,3 +239,27 @@ def error_sink(spark, sf_dir):
     out = scratch_path(spark, "errors")
     error_lines(R.log_lines(spark, sf_dir)).select("value").write.text(out)
     return spark.read.text(out)
+
+
+# Lines written as text files and read back as such: one file per day, names from the folder's listing.
+def _written_logs(spark, sf_dir):
+    out = scratch_path(spark, "logs")
+    lines = R.log_lines(spark, sf_dir).select(F.regexp_replace("file", r"\.log$", "").alias("day"), "value")
+    lines.write.partitionBy("day").text(out)
+    return out
+
+
+@query("text_logs", W + """ SELECT level, module, count(*) AS n, count(*) FILTER (is_error) AS n_errors, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first
+FROM facts GROUP BY 1, 2""")
+def text_logs(spark, sf_dir):
+    facts = L.log_facts(read_logs(spark, _written_logs(spark, sf_dir), "*.txt"))
+    return facts.groupBy("level", "module").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("n_errors"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"))
+
+
+# The same files as a stream of lines, with a watermark: all lines are there from the start, so none is late.
+@query("stream_text_logs", W + """ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n_lines, count(*) FILTER (is_error) AS n_errors FROM facts GROUP BY 1""")
+def stream_text_logs(spark, sf_dir):
+    lines = stream_logs(spark, _written_logs(spark, sf_dir) + "/*", "*.txt")
+    return run_windows(windowed_counts(lines, "1 day", watermark="10 minutes")).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_lines", "n_errors")

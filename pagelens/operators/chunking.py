@@ -85,7 +85,8 @@ def recursive_chunks(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
     def split(texts: pd.Series) -> pd.Series:
         return pd.Series([split_page(t, size, overlap) for t in texts])
 
-    return split
+    # Not to be moved or repeated: a filter on the chunks must not run the splitter a second time.
+    return split.asNondeterministic()
 
 
 def window_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

@@ -61,17 +61,19 @@ def _record(df: DataFrame, collection: str, kind: str) -> DataFrame:
 
 
 def text_records(pages: DataFrame, files: DataFrame, chunks: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Chunks of every page. The chunk number in an id counts over the whole file: per page the chunks
-    are counted, earlier pages are summed, and only then are the chunks unfolded."""
+    """Chunks of every page. The chunk number in an id counts over the whole file: the splitter runs once and its
+    chunks are stored; only the pages' chunk counts are numbered, and each page gets back how many chunks come
+    before it."""
     split = chunks or recursive_chunks()
-    split_pages = with_provenance(pages.where(has_text(F.col("text"))), files).select(
+    cut = with_provenance(pages.where(has_text(F.col("text"))), files).select(
         "pdf_path", "doc_hash", "doc_tag", page_number(F.col("page0")).alias("page"), "page_label",
         F.xxhash64("text").alias("_tie"), split(F.col("text")).alias("_chunks"))
-    # The splitter runs for the counts and again for the rows: cheaper than storing all chunks between.
+    stored = materialize(cut.withColumn("_n", F.size("_chunks")).withColumn("_row", F.monotonically_increasing_id()), "chunks")
     counted = running_total(
         # Page numbers should be unique, but a repeated one must not make ids hang on the order of arrival.
-        split_pages, ["pdf_path"], ["page", "page_label", "_tie"], _bucket("page"), F.size("_chunks"), "_before")
-    rows = counted.select(
+        stored.select("pdf_path", "page", "page_label", "_tie", "_n", "_row"),
+        ["pdf_path"], ["page", "page_label", "_tie"], _bucket("page"), F.col("_n"), "_before")
+    rows = stored.drop("_tie", "_n").join(counted.select("_row", "_before"), "_row").select(
         "pdf_path", "page", "page_label", "doc_hash", "doc_tag", "_before",
         F.posexplode("_chunks").alias("_no", "_c"))
     rows = rows.select("*", F.col("_c.chunk").alias("text"), (F.col("_before") + F.col("_no")).alias("position"))
@@ -146,12 +148,15 @@ def ingest_stats(
     return rows.groupBy("pdf_path").agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
 
 
-def all_records(ingested: dict[str, DataFrame | None], files: DataFrame, embed: Embedder | None = None) -> DataFrame:
-    """Records of all modalities with vectors."""
+def all_records(
+    ingested: dict[str, DataFrame | None], files: DataFrame, embed: Embedder | None = None,
+    chunks: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Records of all modalities with vectors; ``chunks`` is another splitter than the recursive one."""
     known = with_paths(files)
     made = []
     if ingested.get("text") is not None:
-        made.append(text_records(ingested["text"], known))
+        made.append(text_records(ingested["text"], known, chunks))
     if ingested.get("tables") is not None:
         made.append(table_rows(ingested["tables"], known))
     if ingested.get("images") is not None:
@@ -166,13 +171,14 @@ def all_records(ingested: dict[str, DataFrame | None], files: DataFrame, embed:
 
 def index_files(
     store: RecordStore, files: DataFrame, *, embed: Embedder | None = None, force: bool = False,
-    batch: int | None = None, artifact_root: str | None = None, **branches,
+    batch: int | None = None, artifact_root: str | None = None, chunks: Callable[[Column], Column] | None = None, **branches,
 ) -> DataFrame:
     """Ingest files whose content no stored record has, and store their records as one batch.
     Returns the per-file counts. Known files drop out before any splitting, captioning or embedding.
 
     With an ``artifact_root``, the tables' CSV lines and JSON records are written below it, in a folder of this
-    batch, where the records' csv_path and json_path say.
+    batch, where the records' csv_path and json_path say. ``pages`` may be a loader instead of a table: a function that
+    gets the new files and returns their page rows.
     """
     if artifact_root is not None:
         batch = store.next_batch() if batch is None else batch
@@ -182,6 +188,8 @@ def index_files(
     # Written once: it decides for every branch, and its size then tells Spark what may be broadcast.
     narrow = with_paths(files).select(*[c for c in ("pdf_path", "doc_hash", "doc_tag") if c in files.columns])
     fresh = materialize(keep_first(not_indexed(narrow, before, force), ["doc_hash"], ["pdf_path"]), "fresh")
+    if callable(branches.get("pages")):
+        branches["pages"] = branches["pages"](fresh)
     wanted = {n: with_provenance(branches[n], fresh, strict=False) for n in ("pages", "images") if branches.get(n) is not None}
     if branches.get("cells") is not None:  # cell rows are narrowed here and get their file's hash as records
         wanted["cells"] = branches["cells"].join(fresh.select("pdf_path"), "pdf_path", "left_semi")
@@ -190,5 +198,5 @@ def index_files(
         cells = cap_pages(wanted["cells"], branches.get("num_pages"), F.col("page"))
         write_table_csv(cells, branches["artifact_dir"])
         write_sidecars(ingested["tables"], branches["artifact_dir"])
-    store.append(all_records(ingested, fresh, embed), batch, unique=True)
+    store.append(all_records(ingested, fresh, embed, chunks), batch, unique=True)
     return ingested["stats"]

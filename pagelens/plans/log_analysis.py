@@ -239,7 +239,7 @@ _REPORT_ITEMS = (
 )
 
 
-def report(facts: DataFrame, top: int = 10) -> DataFrame:
+def report(facts: DataFrame, top: int = 10, *, tie_break: str | None = None) -> DataFrame:
     """All sections as one long (section, item, measure, value, note) table.
 
     One pass over the lines tallies levels, modules, timings, scores and errors together (each line
@@ -287,7 +287,7 @@ def report(facts: DataFrame, top: int = 10) -> DataFrame:
     item = F.when(F.col("section") == "modules", L.module_short(F.col("metric"))).otherwise(F.col("metric"))
     table = listed.select("section", item.alias("item"), F.explode(cells).alias("c"), note.alias("note")).select(
         "section", "item", "c.measure", "c.value", "note")
-    newest = recent_errors(facts).select(
+    newest = recent_errors(facts, tie_break=tie_break).select(
         F.lit("recent errors").alias("section"), F.col("message").alias("item"), F.lit("count").alias("measure"),
         F.lit(1.0).alias("value"), F.lit(None).cast("string").alias("note"))
     return table.unionByName(newest)

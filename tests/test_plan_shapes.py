@@ -11,7 +11,7 @@ from pagelens.catalog import QUERIES
 PYTHON = {
     "chunk_recursive", "chunk_recursive_spans", "embed_hash", "caption_images", "generate_vision", "generate_answers",
     "knn_per_collection", "retrieve_multi", "retrieve_two_each", "retrieve_cosine", "retrieve_ip", "knn_by_cells", "knn_probed",
-    "hit_records", "format_context", "build_prompt", "answer_questions", "search_text", "ask_documents", "context_list",
+    "chunk_contract", "generate_schema", "hit_records", "format_context", "build_prompt", "answer_questions", "search_text", "ask_documents", "context_list",
 }
 
 
@@ -22,3 +22,8 @@ def test_plan(spark, plan_of, name):
     assert "BatchEvalPython" not in plan
     if name not in PYTHON:
         assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_the_splitter_runs_once(spark, plan_of):
+    for name in ("chunk_contract", "chunk_recursive_spans"):
+        assert plan_of(QUERIES[name](spark, SF)).count("ArrowEvalPython") == 1
