@@ -14,6 +14,7 @@ score, rank); lower scores are nearer and equal scores are ordered by id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,7 +29,8 @@ from pagelens.session import materialize
 DEFAULT_K = 4
 DEFAULT_TOP_N = 6
 BROADCAST_BYTES = 64 << 20
-PIVOTS = 128
+MIN_PIVOTS = 128
+MAX_PIVOTS = 8192  # distances of an Arrow batch to all pivots stay below 300 MB
 HIT_BYTES = 256  # generous size of one hit in memory
 GROUP_BYTES = 32 << 20  # vectors of one cell slice or one question block in a task
 
@@ -71,7 +73,7 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
 
 def nearest(
     corpus: DataFrame, questions: DataFrame, k: int | None = None, metric: str = "l2sq", *,
-    probes: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, pivots: int = PIVOTS,
+    probes: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, pivots: int | None = None,
     group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest records per question and collection. ``qid`` and, per collection, ``id`` are
@@ -81,7 +83,7 @@ def nearest(
 
 def _nearest(
     corpus: DataFrame, questions: DataFrame, k: int | None, metric: str = "l2sq", probes: int | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES, pivots: int = PIVOTS, group_bytes: int = GROUP_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES, pivots: int | None = None, group_bytes: int = GROUP_BYTES,
 ) -> tuple[DataFrame, int | None]:
     """Hits, and the number of questions where it had to be counted for the size check."""
     k = k_or_default(k)
@@ -140,13 +142,16 @@ def _by_cells(
     corpus: DataFrame, questions: DataFrame, k: int, metric: str, schema: T.StructType, dimensions: int,
     probes: int | None, pivots: int, group_rows: int,
 ) -> DataFrame:
-    # Pivots: a bounded, repeatable choice. Any choice gives the same result, only at other cost.
+    # Pivots: a repeatable choice, about the square root of the corpus, so that cells and their number grow alike.
+    # Exact results do not hang on the choice, only the cost does.
+    if pivots is None:
+        pivots = min(max(MIN_PIVOTS, math.isqrt(corpus.count())), MAX_PIVOTS)
     spherical = metric == "cosine"
     usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     if spherical:
         usable = usable & F.exists("embedding", lambda x: x != 0)
     chosen = (
-        corpus.where(usable).orderBy(F.xxhash64("id"), "id").select("embedding").limit(pivots).toArrow().column("embedding")
+        corpus.where(usable).orderBy(F.md5(F.col("id").cast("string")), "id").select("embedding").limit(pivots).toArrow().column("embedding")
     )
     if len(chosen) == 0:
         return corpus.sparkSession.createDataFrame([], schema)
@@ -185,7 +190,7 @@ def _by_cells(
     by_collection = {c: g.reset_index(drop=True) for c, g in stats.groupby("collection")}
     wanted_schema = layout(
         qid=questions.schema["qid"].dataType, qvec=T.ArrayType(T.DoubleType()), collection=T.StringType(),
-        cell=T.IntegerType(), slice=T.IntegerType())
+        cell=T.IntegerType())
     wanted_arrow = _arrow_schema(wanted_schema)
 
     def choose(gaps: np.ndarray, cells) -> np.ndarray:
@@ -213,28 +218,37 @@ def _by_cells(
             gaps = reach(vectors)
             for collection, cells in by_collection.items():
                 row, col = np.nonzero(choose(gaps, cells) & np.isfinite(gaps).all(axis=1)[:, None])
-                slices = cells["slices"].to_numpy()[col]
-                row, cell = np.repeat(row, slices), np.repeat(cells["cell"].to_numpy()[col], slices)
-                part = np.concatenate([np.arange(s) for s in slices]) if len(slices) else np.empty(0)
+                cell = cells["cell"].to_numpy()[col]
                 for a in range(0, len(row), 4096):
                     some = row[a:a + 4096]
                     picked = batch.take(pa.array(some))
                     yield pa.RecordBatch.from_arrays(
                         [picked.column("qid"), picked.column("qvec").cast(pa.list_(pa.float64())),
                          pa.array([collection] * len(some), pa.string()),
-                         pa.array(cell[a:a + 4096].astype("int32")), pa.array(part[a:a + 4096].astype("int32"))],
+                         pa.array(cell[a:a + 4096].astype("int32"))],
                         schema=wanted_arrow)
 
-    questions = materialize(questions, "questions")
-    blocks = max(1, -(-questions.count() // group_rows))
-    wanted = questions.mapInArrow(route, wanted_schema).withColumn(
-        "block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    slices = corpus.sparkSession.createDataFrame(stats[["collection", "cell", "slices"]],
-                                                 "collection string, cell int, slices bigint")
+    wanted = materialize(questions.mapInArrow(route, wanted_schema), "questions")
+    # Per cell: slices by its records, blocks by the questions that visit it. A record goes out once for each block of
+    # its own cell, and not at all if no question comes.
+    visits = wanted.groupBy("collection", "cell").count().toPandas()  # bounded like stats
+    visits["blocks"] = np.ceil(visits["count"] / group_rows).astype("int64").clip(lower=1)
+    met = stats[["collection", "cell", "slices"]].merge(visits[["collection", "cell", "blocks"]], on=["collection", "cell"])
+    plan = F.broadcast(corpus.sparkSession.createDataFrame(
+        met, "collection string, cell int, slices bigint, blocks bigint"))  # pivots x collections rows
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+
+    wanted = (
+        wanted.join(plan, ["collection", "cell"])
+        .withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+        .withColumn("slice", every("slices")).drop("slices", "blocks")
+    )
     sliced = (
-        placed.join(F.broadcast(slices), ["collection", "cell"])  # bounded: pivots x collections rows
+        placed.join(plan, ["collection", "cell"])
         .withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("block", every("blocks"))
         .select("collection", "cell", "slice", "block", "id", "embedding")
     )
     arrow = _arrow_schema(schema)

@@ -126,3 +126,15 @@ def test_plan(spark, plan_of):
     assert "BroadcastHashJoin" in plan_of(with_records(hits, texts, "text"))
     by_cells = plan_of(retrieve(df, asked, broadcast_bytes=0, pivots=4))
     assert "NestedLoop" not in by_cells and "Cartesian" not in by_cells
+
+
+def test_blocks_are_dealt_per_cell(spark):
+    """Slices and blocks are dealt per cell: the plan joins both sides with the counted visits of their cell."""
+    rng = np.random.default_rng(8)
+    rows = [("pdf_text", f"{name}{i}", (rng.normal(size=6) * 0.01 + at).tolist()) for name, at in (("far", 50), ("near", 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "collection string, id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, (rng.normal(size=6) * 0.01).tolist()) for i in range(200)], "qid bigint, qvec array<double>")
+    hits = nearest(df, asked, broadcast_bytes=0, pivots=8, group_bytes=8 * 6 * 50)
+    assert all(r.id.startswith("near") for r in hits.collect())
+    grouped = hits._jdf.queryExecution().analyzed().toString()
+    assert "blocks" in grouped and "Join Inner" in grouped
