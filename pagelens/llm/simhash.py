@@ -208,11 +208,12 @@ def report(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, the same columns: that of the smallest doc_id (null last), of
     repeated ids that of the smallest text hash."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    # Id and text hash as one struct, in which null ids equal each other: join and thinning share one partitioning,
+    # so texts are shuffled once.
+    kind = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},hash:bigint>"  # as it is read back
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("hash")).cast(kind))
     found = near_duplicates(keyed, keep=("doc_id", "_key"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
-    first = found.groupBy("group").agg(F.min(order).alias("_first")).select("_first.doc_id", "_first._key").distinct()
-    chosen = materialize(first.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_chosen")), "kept")
-    same = (keyed["_key"] == chosen["_chosen"]) & keyed["doc_id"].eqNullSafe(chosen["_id"])
-    # Rows with one id and one text are the same document: dropDuplicates reuses the join's partitioning.
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key.hash")
+    chosen = materialize(found.groupBy("group").agg(F.min_by("_key", order).alias("_key")).select("_key").distinct(), "kept")
+    # Rows with one id and one text are the same document.
+    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
