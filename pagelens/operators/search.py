@@ -32,6 +32,7 @@ BROADCAST_BYTES = 64 << 20
 MIN_PIVOTS = 128
 MAX_PIVOTS = 8192  # distances of an Arrow batch to all pivots stay below 300 MB
 HIT_BYTES = 256  # generous size of one hit in memory
+MERGE_ROWS = 10_000_000
 GROUP_BYTES = 32 << 20  # vectors of one cell slice or one question block in a task
 
 
@@ -127,8 +128,9 @@ def _scan(
             if len(found.row):
                 yield _hits(qids, name, found, arrow)
 
-    # A task emits k rows per question however much it reads: few long tasks mean a small merge.
-    tasks = 4 * spark.sparkContext.defaultParallelism
+    # A task emits k rows per question however much it reads. Only where that would be too many rows to merge are
+    # partitions read together; a few questions leave the scan, and an embedder ahead of it, as parallel as it comes.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, MERGE_ROWS // (k * max(1, questions.num_rows)))
     return corpus.coalesce(tasks).mapInArrow(search, schema)
 
 
