@@ -16,7 +16,7 @@ from pagelens.operators.identity import keep_first, not_indexed
 from pagelens.operators.inference import caption, recognise_text
 from pagelens.operators.numbering import running_number, running_total
 from pagelens.session import materialize, spread
-from pagelens.sources.files import cap_pages
+from pagelens.sources.files import cap_pages, with_figure_paths, write_figures
 from pagelens.sources.store import RecordStore
 from pagelens.sources.tables import table_records, write_sidecars, write_table_csv
 
@@ -176,8 +176,8 @@ def index_files(
     """Ingest files whose content no stored record has, and store their records as one batch.
     Returns the per-file counts. Known files drop out before any splitting, captioning or embedding.
 
-    With an ``artifact_root``, the tables' CSV lines and JSON records are written below it, in a folder of this
-    batch, where the records' csv_path and json_path say. ``pages`` may be a loader instead of a table: a function that
+    With an ``artifact_root``, the tables' CSV lines and JSON records and the images' bytes are written below it, in a folder
+    of this batch, where the records' csv_path, json_path and png_path say. ``pages`` may be a loader instead of a table: a function that
     gets the new files and returns their page rows.
     """
     if artifact_root is not None:
@@ -198,5 +198,10 @@ def index_files(
         cells = cap_pages(wanted["cells"], branches.get("num_pages"), F.col("page"))
         write_table_csv(cells, branches["artifact_dir"])
         write_sidecars(ingested["tables"], branches["artifact_dir"])
+    if artifact_root is not None and ingested["images"] is not None:
+        ingested["images"] = with_figure_paths(ingested["images"], branches["artifact_dir"])
+        # The bytes come from the given images: no model runs for them.
+        write_figures(with_figure_paths(cap_pages(wanted["images"], branches.get("num_pages"), F.col("page")), branches["artifact_dir"]),
+                      branches["artifact_dir"])
     store.append(all_records(ingested, fresh, embed, chunks), batch, unique=True)
     return ingested["stats"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagelens.functions.ids import content_hash, image_hash, short_hash
 from pagelens.functions.text import file_name
+from pagelens.sources.tables import artifact_path, path_mark
 
 
 def with_hashes(df: DataFrame, content: str = "content") -> DataFrame:
@@ -56,3 +57,16 @@ def image_records(files: DataFrame) -> DataFrame:
         F.regexp_extract(name, r"-img(\d+)", 1).try_cast("int").alias("image_no"),
         F.col("path").alias("png_path"), "content",
     )
+
+
+def with_figure_paths(images: DataFrame, artifact_dir: str) -> DataFrame:
+    """The image records with ``png_path`` where :func:`write_figures` puts their bytes; the suffix stays."""
+    name = F.concat(F.coalesce("image_id", F.lit("")), F.regexp_extract(F.coalesce("png_path", F.lit("")), r"(\.[^./]*)$", 1))
+    return images.withColumn("png_path", artifact_path(artifact_dir, "figures", F.col("pdf_path"), F.concat(path_mark(F.col("pdf_path")), F.lit("-"), name)))
+
+
+def write_figures(images: DataFrame, out_dir: str) -> None:
+    """Bytes of all images, packed: ``figures/bucket=hh`` holds (name, content), the name as behind ``#`` in png_path."""
+    images.select(
+        path_mark(F.col("pdf_path"), 2).alias("bucket"), F.element_at(F.split("png_path", "#"), -1).alias("name"), "content",
+    ).write.partitionBy("bucket").parquet(f"{out_dir}/figures")
