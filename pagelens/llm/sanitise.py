@@ -1,8 +1,8 @@
 """Personal data: patterns, and information-theoretic sanitisation of what gives them away.
 
-The base patterns find the protected entities (addresses, numbers). A term near an entity's mentions may reveal it
-as well. The corpus tells how strongly: with n(t) occurrences of term t, n(t, e) of them beside a mention of
-entity e, and n(e) mentions among N words, the information that t gives about e is
+The base patterns find the protected entities (addresses, numbers). A term in the texts of an entity's mentions may reveal
+it as well, however far off. The corpus tells how strongly: with n(t) occurrences of term t, n(t, e) of them in the text
+of a mention of entity e (once for each mention), and n(e) mentions among N words, the information that t gives about e is
 
     PMI(t, e) = log2( P(e | t) / P(e) ),   P(e | t) = n(t, e) / n(t),   P(e) = n(e) / N
 
@@ -15,11 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelens.llm.spans import count_of, digest, joined, let, no_spans, replaced, spans_of
+from pagelens.llm.spans import SLICE, count_of, digest, joined, let, no_spans, replaced, spans_of
 from pagelens.session import materialize
 
-# Code points on either side of a mention in which terms are beside it.
-REACH = 64
 SUPPORT = 2
 GENERALISE = 0.7
 REMOVE = 0.9
@@ -77,31 +75,40 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), bare)
 
 
-def _sides(text: Column, span: Column) -> Column:
-    """The text on both sides of a mention: structs (entity, at, side). A token cut by the edge is not a term, so the
-    sides reach one further and what touches that edge is dropped later."""
-    left = F.greatest(span["start"] - REACH, F.lit(0))
-    return F.array(
-        F.struct(_entity(span).alias("entity"), left.alias("at"), F.substring(text, left + 1, span["start"] - left).alias("side"),
-                 (left > 0).alias("cut")),
-        F.struct(_entity(span).alias("entity"), span["end"].alias("at"), F.substring(text, span["end"] + 1, F.lit(REACH)).alias("side"),
-                 F.lit(False).alias("cut")),
-    )
+def _running_max(values: Column) -> Column:
+    """The greatest of the first 1, 2, ... elements of an array, by slices like spans.running_sums."""
+    return let(
+        F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SLICE).cast("int")),
+            lambda b: F.slice(values, b * SLICE + 1, SLICE)),
+        lambda slices: let(
+            F.transform(slices, F.array_max),
+            lambda tops: F.flatten(F.transform(slices, lambda part, i: let(
+                F.array_max(F.slice(tops, 1, i)),
+                lambda before: F.transform(part, lambda _, j: F.greatest(before, F.array_max(F.slice(part, 1, j + 1)))))))))
+
+
+def _gaps(text: Column, spans: Column) -> Column:
+    """The whole text but its mentions, cut there: structs (at, side). No position outside a mention is left out."""
+
+    def cut(ends: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: let(
+            F.coalesce(F.get(ends, i - 1), F.lit(0)),
+            lambda at: F.struct(at.alias("at"), F.substring(
+                text, at + 1, F.greatest(F.coalesce(F.get(spans, i)["start"], F.length(text)) - at, F.lit(0))).alias("side"))))
+
+    return F.when(F.size(spans) > 0, let(_running_max(F.transform(spans, lambda s: s["end"])), cut))
 
 
 def _terms(side: Column) -> Column:
-    """(term, start, end) of the terms of a side, positions in the document."""
-    tokens = spans_of(side["side"], "term", 0, TERM)
-    edge = F.length(side["side"])
-    # On the left a token at the very edge may be the rest of a longer one, on the right its beginning.
-    whole = F.filter(tokens, lambda t: ~((side["cut"] & (t["start"] == 0)) | ((edge >= REACH) & ~side["cut"] & (t["end"] == edge))))
+    """(term, start, end) of the terms of a gap, positions in the document."""
 
     def place(t: Column) -> Column:
         term = F.regexp_extract(t["found"], _TERM_LETTERS, 0)
         start = side["at"] + t["start"] + F.instr(t["found"], term) - 1
         return F.struct(F.lower(term).alias("term"), start.alias("start"), (start + F.length(term)).alias("end"))
 
-    return F.transform(whole, place)
+    return F.transform(spans_of(side["side"], "term", 0, TERM), place)
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -113,22 +120,24 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``base`` and ``added``: the pattern spans and those of disclosing terms (kinds remove and general)
-    of every row. Null and empty texts have none; repeated rows and null ids are rows of their own.
+    of every row, the latter at every place in all texts with their entity. Null and empty texts have none; repeated rows and null ids are rows of their own.
 
     Rows are numbered as they are stored, so only numbers, entities and terms are shuffled, never texts. Counts per
     (entity, term) and per term are pre-aggregated; a hot entity is a skewed join that adaptive execution splits.
     """
     spans = docs.select(*keep, F.col(text).alias("_text"), pii_spans(F.col(text)).alias("base"))
-    sides = F.flatten(F.transform("base", lambda s: _sides(F.col("_text"), s)))
+    terms = F.flatten(F.transform(_gaps(F.col("_text"), F.col("base")), _terms))
     found = materialize(
-        spans.select(*keep, F.monotonically_increasing_id().alias("_row"), "base", sides.alias("_sides")), "pii")
-    mentions = found.where(F.size("_sides") > 0).select("_row", F.explode("_sides").alias("s"))
-    beside = materialize(
-        mentions.select("_row", F.col("s.entity").alias("entity"), F.explode(_terms(F.col("s"))).alias("t"))
-        .select("_row", "entity", "t.*"), "beside")
-    # Two sides for each mention.
-    entities = mentions.groupBy(F.col("s.entity").alias("entity")).agg((F.count("*") / 2).alias("n_e"))
-    together = beside.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+        spans.select(*keep, F.monotonically_increasing_id().alias("_row"), "base", terms.alias("_terms")), "pii")
+    mentions = materialize(
+        found.select("_row", F.explode("base").alias("s")).groupBy("_row", _entity(F.col("s")).alias("entity"))
+        .agg(F.count("*").alias("m")), "mentions")
+    beside = found.select("_row", F.explode("_terms").alias("t")).select("_row", "t.*")
+    entities = mentions.groupBy("entity").agg(F.sum("m").alias("n_e"))
+    # Every occurrence is beside every mention of its text; both are counted per text before they meet.
+    together = (
+        beside.groupBy("_row", "term").agg(F.count("*").alias("o")).join(mentions, "_row")
+        .groupBy("entity", "term").agg(F.sum(F.col("o") * F.col("m")).alias("n_te")).where(F.col("n_te") >= SUPPORT))
     counts = materialize(term_counts(docs, text), "terms")
     words = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ic = F.log2(F.lit(float(max(words, 2))) / F.col("n_e"))
@@ -137,7 +146,8 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     disclosing = materialize(
         together.join(counts, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= GENERALISE)
         .select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("general").alias("action")), "disclosing")
-    added = beside.join(disclosing, ["entity", "term"]).groupBy("_row", "start", "end", "term").agg(F.max("action").alias("action"))
+    marked = mentions.join(disclosing, "entity").groupBy("_row", "term").agg(F.max("action").alias("action"))
+    added = beside.join(marked, ["_row", "term"])
     rank = F.when(F.col("action") == "general", len(KINDS)).otherwise(len(KINDS) + 1)
     by_row = added.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
         "start", rank.alias("rank"), "end", F.col("action").alias("kind"), F.col("term").alias("found")))).alias("added"))
