@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelens.llm import (
     decontaminate, exact_topk, packing, sanitise, secret_scan, sharding, simhash, token_scan, toxicity, url_filter,
+    whitening,
 )
 from pagelens.llm.oracles import ORACLES
 from pagelens.session import prepare
@@ -59,8 +60,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_pii, op3_exact_topk, op4_toxicity, op5_best_fit_packing, op6_url_filter, op7_simhash,
-        op8_decontaminate, op9_sharding, op10_token_counts)
+        op8_decontaminate, op9_sharding, op10_token_counts, op11_whitening)
 }
