@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelens.llm import (
-    decontaminate, exact_topk, packing, sanitise, secret_scan, sharding, simhash, token_scan, toxicity, url_filter,
+    decontaminate, exact_topk, line_runs, packing, prefix_trie, sanitise, secret_scan, sharding, simhash, token_scan, toxicity, url_filter,
     whitening,
 )
 from pagelens.llm.oracles import ORACLES
@@ -64,8 +64,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_pii, op3_exact_topk, op4_toxicity, op5_best_fit_packing, op6_url_filter, op7_simhash,
-        op8_decontaminate, op9_sharding, op10_token_counts, op11_whitening)
+        op8_decontaminate, op9_sharding, op10_token_counts, op11_whitening, op12_line_dedup, op13_prefix_trie)
 }
