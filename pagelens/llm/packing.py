@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagelens.llm.tokens import encoder
+from pagelens.llm.tokens import worker_encoder
 from pagelens.operators.numbering import running_number
 from pagelens.session import materialize
 
@@ -108,7 +108,7 @@ def tokenised(
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(vocabulary)
+        encode = worker_encoder(vocabulary)
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
 

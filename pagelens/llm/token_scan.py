@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pagelens.llm.tokens import encoder
+from pagelens.llm.tokens import worker_encoder
 from pagelens.session import materialize
 
 # Fixed value: the id that ends a document in the vocabulary word_bpe_49k.
@@ -36,7 +36,7 @@ def write_streams(docs: DataFrame, text: str = "text", vocabulary: str | None =
         from pyspark import TaskContext
 
         stream, block, nth, held = TaskContext.get().partitionId(), 0, 0, b""
-        encode = encoder(vocabulary)
+        encode = worker_encoder(vocabulary)
 
         def table(blocks: list[bytes], first: int, ids: pa.Array | None) -> pa.RecordBatch:
             n, m = len(blocks), 0 if ids is None else len(ids)

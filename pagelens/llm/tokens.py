@@ -1,18 +1,22 @@
 """Token ids of whole texts by a public tokenizer, in tasks.
 
 The vocabulary splits at white space before anything else, so a text's ids are those of its
-white-space-delimited pieces in turn. Pieces recur: each task keeps the ids of those it has seen, packed as
-little-endian unsigned 32-bit numbers, in a cache of bounded size.
+white-space-delimited pieces in turn. Pieces recur: a worker process keeps the ids of those it has seen, packed as
+little-endian unsigned 32-bit numbers, in caches of bounded size that all its tasks share.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import types
+from array import array
 from collections.abc import Callable
 
 VOCABULARY = "word_bpe_49k.json"
-# Pieces that a task remembers before it starts anew (about 80 MB).
+# Pieces that a process remembers before it starts anew (about 80 MB), and as many words.
 CACHE_PIECES = 300_000
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 # The public byte-level alphabet, a rule. Printable bytes stand for themselves, the others for
 # the characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -29,10 +33,53 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Remembered(dict):
+    """Results of a function. Those used since the last turn stay, so what is frequent is never forgotten: at half the
+    bound the present ones become the old ones, from which they return when asked for."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) > self.most // 2:
+            self.old = dict(self)
+            self.clear()
+
+
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
+
+
+def _worker_state() -> dict:
+    """A dictionary of this Python process. Functions travel to workers by value, module globals included, so what
+    should outlive a task is kept under a name of its own among the process's modules."""
+    return sys.modules.setdefault("_pagelens_worker_state", types.ModuleType("_pagelens_worker_state")).__dict__
+
+
+def worker_encoder(path: str | None = None) -> Callable[[str | None], bytes]:
+    """The encoder of this worker process, made once: its pieces serve all tasks that the process runs."""
+    made = _worker_state().setdefault("encoders", {})
+    if path not in made:
+        made[path] = encoder(path)
+    return made[path]
+
+
 def encoder(path: str | None = None, cache_pieces: int = CACHE_PIECES) -> Callable[[str | None], bytes]:
     """A function from text to its ids as bytes. Null is the empty text.
 
-    ``path``: the vocabulary file on every worker (default: the installed public one).
+    ``path``: the vocabulary file on every worker (default: the installed public one). Two caches of at most
+    ``cache_pieces`` each: pieces as they stand, and bare words (lower case, without a mark behind them), which are far fewer.
     """
     import numpy as np
     from tokenizers import Tokenizer
@@ -42,35 +89,38 @@ def encoder(path: str | None = None, cache_pieces: int = CACHE_PIECES) -> Callab
     model, alphabet = whole.model, _alphabet()
     # A lower-case word of letters that need no normalising, with at most one punctuation mark behind it, is what the
     # normaliser and the pre-tokenizer leave as it is, so it may go straight to the model.
-    plain = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)").fullmatch
+    plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
     ascii_blanks = re.compile(r"[^\x20\x09-\x0d]+").findall
-    marks = {m: [x.id for x in model.tokenize(m)] for m in ".,;:!?"} | {"": []}
-    cache: dict[str, bytes] = {}
+
+    def packed(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
+
+    marks = {m: packed([x.id for x in model.tokenize(m)]) for m in ".,;:!?"} | {"": b""}
+
+    def of_word(word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
+        return packed([x.id for x in model.tokenize(mapped)])
+
+    words = _Remembered(of_word, cache_pieces)
 
     def of_piece(piece: str) -> bytes:
-        if found := plain(piece.lower()):
-            word, mark = found.groups()
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
-            ids = [x.id for x in model.tokenize(mapped)] + marks[mark]
-        else:
-            ids = whole.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        word, mark = piece.lower(), ""
+        if not word.isalpha() and word[-1] in marks:
+            word, mark = word[:-1], word[-1]
+        if word.isascii() and word.isalpha() or plain(word):
+            return words[word] + marks[mark]
+        return packed(whole.encode(piece, add_special_tokens=False).ids)
+
+    pieces = _Remembered(of_piece, cache_pieces)
 
     def encode(text: str | None) -> bytes:
         text = text or ""
+        pieces.age()
+        words.age()
+        if _latin(text):  # one form of each piece; elsewhere lower-casing may depend on what stands beside a letter
+            text = text.lower()
         # str.split() also cuts at four control characters that are no white space to the vocabulary.
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        pieces = ascii_blanks(text) if odd else text.split()
-        got = list(map(cache.get, pieces))
-        if None in got:
-            if len(cache) > cache_pieces:
-                cache.clear()
-            for i, piece in enumerate(pieces):
-                if got[i] is None:
-                    ids = cache.get(piece)
-                    if ids is None:
-                        ids = cache[piece] = of_piece(piece)
-                    got[i] = ids
-        return b"".join(got)
+        return b"".join(map(pieces.__getitem__, ascii_blanks(text) if odd else text.split()))
 
     return encode

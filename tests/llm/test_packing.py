@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -103,3 +104,20 @@ def test_whole_table(spark, tokenizer):
     want = {r.doc_id: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
     got = pack(docs).groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in got} == want
+
+
+def test_one_encoder_for_all_tasks_of_a_worker(spark):
+    """Tasks of one process share the encoder, though its code is shipped with every plan."""
+    from pagelens.llm import tokens
+
+    def run(batches):
+        import os
+
+        for batch in batches:
+            encode = tokens.worker_encoder()
+            encode("word")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([os.getpid()], pa.int64()), pa.array([id(encode)], pa.int64())], ["pid", "made"])
+
+    rows = [tuple(r) for _ in range(3) for r in spark.range(8).repartition(8).mapInArrow(run, "pid bigint, made bigint").collect()]
+    assert len(set(rows)) == len({pid for pid, _ in rows}) < len(rows)
