@@ -19,6 +19,8 @@ WINDOW = 13
 SIMILAR = 0.8
 # Benchmark words whose seeds are broadcast at a time (about 64 MB of hashes); a larger benchmark goes in more passes.
 PASS_WORDS = 1_000_000
+# Items with fewer words are too short to tell a leak from ordinary language; they overlap nothing.
+LEAST_WORDS = 3
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,6 +41,15 @@ def required(window: int, similar: float = SIMILAR) -> int:
     return -int(-(window * similar) // 1)
 
 
+def _leading(keys: np.ndarray) -> np.ndarray:
+    """Which leading bits the hashes have: a first test of a hash by one look. About 16 bits of table for each hash,
+    2 ** 22 bytes at most, so all masks of a pass take 16 times their hashes or 4 MB each, whichever is less."""
+    bits = min(22, max(4, (16 * len(keys)).bit_length()))
+    seen = np.zeros(1 << bits, bool)
+    seen[keys >> np.uint64(64 - bits)] = True
+    return seen
+
+
 class SeedTable:
     """All seeds of a benchmark: for each window length and mask the sorted hashes and where they stand."""
 
@@ -65,9 +76,18 @@ class SeedTable:
                 hashes = self.hash(self.flat, begin, mask)
                 order = np.argsort(hashes, kind="stable")
                 keys = hashes[order]
-                seen = np.zeros(1 << 22, bool)
-                seen[keys >> np.uint64(42)] = True
-                self.seeds.append((long, mask, keys, begin[order], seen))
+                self.seeds.append((long, mask, keys, begin[order], _leading(keys)))
+
+    def parts(self) -> tuple:
+        """What the table consists of, in plain types: a broadcast may be read where this class is not installed."""
+        return self.similar, self.number, self.flat, self.item, [seed[:4] for seed in self.seeds]
+
+    @classmethod
+    def of_parts(cls, parts: tuple) -> SeedTable:
+        table = cls([], similar=parts[0])
+        _, table.number, table.flat, table.item, seeds = parts
+        table.seeds = [(long, mask, keys, begin, _leading(keys)) for long, mask, keys, begin in seeds]
+        return table
 
     @staticmethod
     def hash(flat: np.ndarray, begin: np.ndarray, mask: list[int]) -> np.ndarray:
@@ -88,7 +108,7 @@ class SeedTable:
             for p in mask:  # a sampled word outside the benchmark's vocabulary cannot match
                 begin = begin[flat[begin + p] > 0]
             h = self.hash(flat, begin, mask)
-            maybe = seen[h >> np.uint64(42)]
+            maybe = seen[h >> np.uint64(65 - len(seen).bit_length())]
             begin, h = begin[maybe], h[maybe]
             lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
             begin, lo, n = begin[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
@@ -113,6 +133,10 @@ class SeedTable:
         return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((3, 0), np.int64)
 
 
+def long_enough(words: list[str]) -> list[str]:
+    return words if len(words) >= LEAST_WORDS else []
+
+
 def _finder(shared, names: list[str]):
     def overlaps(table: SeedTable, ids: list, texts: list[str | None]):
         get = table.number.get
@@ -138,7 +162,8 @@ def _finder(shared, names: list[str]):
             yield row, ids[item], begin - int(starts[row]), end - int(starts[row]), same
 
     def run(batches):
-        ids, table = shared.value
+        ids, parts = shared.value
+        table = SeedTable.of_parts(parts)
         for batch in batches:
             # A few million characters at a time.
             texts, first, size = batch.column(len(names)).to_pylist(), 0, 0
@@ -161,7 +186,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
     the document, end exclusive) and same_words.
 
     An overlap is a union of aligned windows of WINDOW words (of the whole item, if it is shorter), of which SIMILAR
-    agree each. Null, empty and wordless texts and items overlap nothing. Repeated rows give repeated overlaps;
+    agree each. Null, empty and wordless texts overlap nothing, nor do items of fewer than LEAST_WORDS words. Repeated rows give repeated overlaps;
     repeated items are compared once per distinct (item_id, text). Only benchmark words are broadcast, at most
     PASS_WORDS at a time after counting; a larger benchmark takes several passes over the corpus, which give
     the same rows.
@@ -177,7 +202,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
     for k in range(passes):
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         shared = docs.sparkSession.sparkContext.broadcast(
-            ([r["item_id"] for r in part], SeedTable([words_of(r["text"]) for r in part])))
+            ([r["item_id"] for r in part], SeedTable([long_enough(words_of(r["text"])) for r in part]).parts()))
         one = docs.select(*names, F.col(text)).mapInArrow(
             _finder(shared, names), f"{kept}, item_id bigint, start_word int, end_word int, same_words int")
         found = one if found is None else found.unionByName(one)

@@ -11,9 +11,9 @@ from pagelens.llm import decontaminate
 from pagelens.llm.decontaminate import SeedTable, clean, overlaps, required, seed_masks, words_of
 
 
-def brute(doc, item, window=13):
+def brute(doc, item, window=13, least=1):
     d, b = words_of(doc), words_of(item)
-    long = min(window, len(b))
+    long = min(window, len(b)) if len(b) >= least else 0
     hit = set()
     for i in range(len(d) - long + 1 if long else 0):
         for j in range(len(b) - long + 1):
@@ -58,21 +58,21 @@ def test_windows_match_brute_force():
 @pytest.fixture
 def tables(spark):
     rng = random.Random(7)
-    items = [(i, text(rng, 30 + i, 5000)) for i in range(6)] + [(7, None), (8, ""), (9, "short item here"), (None, text(rng, 20, 5000))]
+    items = [(i, text(rng, 30 + i, 5000)) for i in range(6)] + [(7, None), (8, ""), (9, "short item here"), (10, "too short"), (None, text(rng, 20, 5000))]
     rows = []
     for i in range(60):
         body = text(rng, rng.randint(0, 300), 5000)
         if i % 5 == 0:
             body += ". " + vary(rng, items[i % 6][1], 0.08).upper() + ", " + text(rng, 20, 5000)
         rows.append((i, body, i % 6 if i % 5 == 0 else None, 1))
-    rows += [(100, None, None, 1), (101, "", None, 1), (None, items[1][1], 1, 1), (0, rows[0][1], 0, 1), (102, "a short item here", 9, 1)]
+    rows += [(100, None, None, 1), (101, "", None, 1), (None, items[1][1], 1, 1), (0, rows[0][1], 0, 1), (102, "a short item here", 9, 1), (103, "too short", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, planted int, item_id int")
     return docs, spark.createDataFrame(items, "item_id bigint, text string"), rows, items
 
 
 def test_overlaps_and_clean(tables):
     docs, bench, rows, items = tables
-    want = sorted(((r[0] if r[0] is not None else -1), i if i is not None else -1) for r in rows for i, t in items if t and r[1] and brute(r[1], t))
+    want = sorted(((r[0] if r[0] is not None else -1), i if i is not None else -1) for r in rows for i, t in items if t and r[1] and brute(r[1], t, least=3))
     got = sorted({(r.doc_id if r.doc_id is not None else -1, r.item_id if r.item_id is not None else -1) for r in overlaps(docs, bench).collect()})
     assert got == sorted(set(want))
     assert {(r[0] or -1 if r[0] != 0 else 0, r[2]) for r in rows if r[2] is not None} <= set(got)
@@ -87,3 +87,29 @@ def test_more_passes_give_the_same(tables, monkeypatch):
     one = sorted(map(str, overlaps(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "PASS_WORDS", 60)
     assert sorted(map(str, overlaps(docs, bench).collect())) == one
+
+
+def test_runs_where_the_package_is_not_installed(tmp_path):
+    """Workers that cannot import the package: another working folder, no PYTHONPATH, the package loaded by path."""
+    import os
+    import subprocess
+    import sys
+    import textwrap
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+    import os, sys
+    sys.path.insert(0, {root!r})
+    from pagelens.session import build_session
+    from pagelens.llm.decontaminate import overlaps
+    sys.path.remove({root!r})
+    os.environ.pop("PYTHONPATH", None)
+    spark = build_session("far", "local[1]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "1"}})
+    passage = " ".join(f"word{{i}}" for i in range(20))
+    docs = spark.createDataFrame([(1, "x y " + passage), (2, "nothing")], "doc_id bigint, text string")
+    found = overlaps(docs, spark.createDataFrame([(5, passage)], "item_id bigint, text string")).collect()
+    print([tuple(r) for r in found])
+    """
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "[(1, 5, 2, 22, 20)]" in done.stdout, done.stderr[-2000:]
