@@ -2,7 +2,8 @@
 
 The base patterns find the protected entities (addresses, numbers). A term in the texts of an entity's mentions may reveal
 it as well, however far off. The corpus tells how strongly: with n(t) occurrences of term t, n(t, e) of them in the text
-of a mention of entity e (once for each mention), and n(e) mentions among N words, the information that t gives about e is
+of a mention of entity e (once for each mention), and n(e) mentions among N words and mentions, the information that t gives
+about e is
 
     PMI(t, e) = log2( P(e | t) / P(e) ),   P(e | t) = n(t, e) / n(t),   P(e) = n(e) / N
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelens.llm.spans import SLICE, count_of, digest, joined, let, no_spans, replaced, spans_of
+from pagelens.llm.spans import SLICE, count_of, digest, joined, let, no_spans, replaced, running_max, spans_of
 from pagelens.session import materialize
 
 SUPPORT = 2
@@ -75,19 +76,6 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), bare)
 
 
-def _running_max(values: Column) -> Column:
-    """The greatest of the first 1, 2, ... elements of an array, by slices like spans.running_sums."""
-    return let(
-        F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SLICE).cast("int")),
-            lambda b: F.slice(values, b * SLICE + 1, SLICE)),
-        lambda slices: let(
-            F.transform(slices, F.array_max),
-            lambda tops: F.flatten(F.transform(slices, lambda part, i: let(
-                F.array_max(F.slice(tops, 1, i)),
-                lambda before: F.transform(part, lambda _, j: F.greatest(before, F.array_max(F.slice(part, 1, j + 1)))))))))
-
-
 def _gaps(text: Column, spans: Column) -> Column:
     """The whole text but its mentions, cut there: structs (at, side). No position outside a mention is left out."""
 
@@ -97,7 +85,7 @@ def _gaps(text: Column, spans: Column) -> Column:
             lambda at: F.struct(at.alias("at"), F.substring(
                 text, at + 1, F.greatest(F.coalesce(F.get(spans, i)["start"], F.length(text)) - at, F.lit(0))).alias("side"))))
 
-    return F.when(F.size(spans) > 0, let(_running_max(F.transform(spans, lambda s: s["end"])), cut))
+    return F.when(F.size(spans) > 0, let(running_max(F.transform(spans, lambda s: s["end"])), cut))
 
 
 def _terms(side: Column) -> Column:
@@ -133,16 +121,25 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         found.select("_row", F.explode("base").alias("s")).groupBy("_row", _entity(F.col("s")).alias("entity"))
         .agg(F.count("*").alias("m")), "mentions")
     beside = found.select("_row", F.explode("_terms").alias("t")).select("_row", "t.*")
-    entities = mentions.groupBy("entity").agg(F.sum("m").alias("n_e"))
+    # Entities of a single text with equally many mentions stand beside the same terms, equally often: they are one
+    # class and meet the terms once, however many mentions a text has.
+    classes = materialize(
+        mentions.join(mentions.groupBy("entity").agg(F.count("*").alias("_texts"), F.sum("m").alias("n_e")), "entity")
+        .select("_row", "m", "n_e", F.when(F.col("_texts") == 1, F.concat_ws(":", F.lit("text"), "_row", "m"))
+                .otherwise(F.col("entity")).alias("entity")).distinct(), "classes")
+    total = mentions.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    mentions = classes.select("_row", "entity", "m")
+    entities = classes.groupBy("entity").agg(F.max("n_e").alias("n_e"))
     # Every occurrence is beside every mention of its text; both are counted per text before they meet.
     together = (
         beside.groupBy("_row", "term").agg(F.count("*").alias("o")).join(mentions, "_row")
         .groupBy("entity", "term").agg(F.sum(F.col("o") * F.col("m")).alias("n_te")).where(F.col("n_te") >= SUPPORT))
     counts = materialize(term_counts(docs, text), "terms")
     words = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ic = F.log2(F.lit(float(max(words, 2))) / F.col("n_e"))
+    # Mentions count among the words, so no entity is more frequent than all words; one that is all of them has nothing to reveal.
+    ic = F.log2(F.lit(float(max(words + total, 1))) / F.col("n_e"))
     # A term beside two mentions counts twice, but no more often than it occurs.
-    share = 1 - F.log2(F.col("n") / F.least("n_te", "n")) / ic
+    share = F.coalesce(1 - F.try_divide(F.log2(F.col("n") / F.least("n_te", "n")), ic), F.lit(0.0))
     disclosing = materialize(
         together.join(counts, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= GENERALISE)
         .select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("general").alias("action")), "disclosing")

@@ -67,7 +67,7 @@ def test_disclosure_matches_count(spark):
             mentions[m[0]] += 1
             for w in re.findall(r"(?<!\S)\W*([^\W\d_]{3,})\W*(?!\S)", t[:m.start()]) + re.findall(r"(?<!\S)\W*([^\W\d_]{3,})\W*(?!\S)", t[m.end():]):
                 beside[m[0], w.lower()] += 1
-    total = sum(terms.values())
+    total = sum(terms.values()) + sum(mentions.values())
     action = {}
     for (e, w), n in beside.items():
         share = 1 - math.log2(terms[w] / min(n, terms[w])) / -math.log2(mentions[e] / total)
@@ -99,3 +99,30 @@ def test_sanitise_keeps_columns(spark, kind):
     docs = spark.createDataFrame([(1, "a@b.co +1 555 123 4567", "s", 9), (None, None, "t", None)], "doc_id bigint, text string, base string, start int")
     rows = {r.doc_id: r for r in sanitise(docs).collect()}
     assert rows[1].text == "[EMAIL] [PHONE]" and rows[1].start == 9 and rows[None].text is None
+
+
+@pytest.mark.parametrize("texts", [["alice x@y.com"] * 2, ["alice x@y.com x@y.com x@y.com"], ["x@y.com"], ["x@y.com x@y.com", "bob"]])
+def test_few_words(spark, texts):
+    """More mentions than words, or as many: no term can say more about an entity than the entity itself."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    words = sum(t.count("alice") + t.count("bob") for t in texts)
+    mentions = sum(t.count("x@y.com") for t in texts)
+    for row in report(docs).collect():
+        text = texts[row.doc_id]
+        beside = sum(t.count("alice") * t.count("x@y.com") for t in texts)
+        n = sum(t.count("alice") for t in texts)
+        share = 1 - math.log2(n / min(beside, n)) / math.log2((words + mentions) / mentions) if beside else 0
+        want = "remove" if share >= REMOVE else "general" if share >= GENERALISE else None
+        got = [s.split(":")[0] for s in row.spans.split(",") if s.split(":")[0] in ("remove", "general")]
+        assert got == ([want] * text.count("alice") if "x@y" in text and beside >= 2 and want else [])
+
+
+def test_many_mentions_in_one_text(spark):
+    """Entities of one text are one class: their number does not multiply the terms."""
+    text = " ".join(f"u{i}@x.org w{'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10 % 10] * 2}{'uvwxyz'[i // 100 % 6]}" for i in range(4000))
+    docs = spark.createDataFrame([(0, text), (1, "waaakku elsewhere")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in report(docs).collect()}
+    assert rows[0].n_email == 4000 and "remove" not in rows[1].spans
+    found = [s.split(":")[0] for s in rows[0].spans.split(",")]
+    # Each word stands in this text alone, but for one that the other text has as well.
+    assert found.count("remove") + found.count("general") >= 3900

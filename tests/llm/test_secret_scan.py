@@ -89,3 +89,37 @@ def test_every_match_is_a_candidate(docs, plan_of):
     assert row.where(index.candidate("access", F.col("p"))).count() < row.count()
     plan = plan_of(report(docs))
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_replacing_many_spans(spark):
+    """A hundred thousand secrets in one text, and overlapping spans over slices, against plain Python."""
+    import random
+    import time
+
+    from pagelens.llm.spans import SPAN, replaced
+
+    one = "AKIA" + "B" * 16
+    text = " é ".join([one] * 100_000)
+    begin = time.time()
+    got = redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["text"]
+    assert got == " é ".join(["[ACCESS]"] * 100_000)
+    assert time.time() - begin < 60
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        n = rng.randint(0, 900)
+        body = "".join(rng.choice("abcé😀") for _ in range(1500))
+        spans = sorted((s, k, min(1500, s + rng.choice([1, 3, 9, 400]))) for k in range(n) for s in [rng.randrange(1500)])
+        rows.append((i, body, [(s, k, e, "x", body[s:e]) for s, k, e in spans]))
+    docs = spark.createDataFrame(rows, f"doc_id int, text string, spans array<{SPAN}>")
+    from pyspark.sql import functions as F
+
+    made = docs.select("doc_id", replaced(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("<"), s["rank"].cast("string"), F.lit(">"))))
+    for i, text in made.collect():
+        _, body, spans = rows[i]
+        out, done = [], 0
+        for s, k, e, *_ in spans:
+            if e > done:
+                out += [body[done:max(done, s)], f"<{k}>"]
+                done = e
+        assert text == "".join(out) + body[done:]
