@@ -9,6 +9,7 @@ from pagelens.catalog.registry import query, table
 from pagelens.operators.embedding import hashed_words
 from pagelens.plans.ingest import text_records
 from pagelens.session import scratch_path
+from pagelens.sources.tail import tail_logs, write_logs
 from pagelens.sources.store import RecordStore
 from pagelens.streaming import monitors as M
 from pagelens.streaming.ingest import run_ingest
@@ -63,3 +64,27 @@ def stream_ingest(spark, sf_dir):
 
     store = run_ingest(files, RecordStore(spark, scratch_path(spark, "store")), to_records)
     return store.current().select("doc_hash", "pdf_path").distinct()
+
+
+# Logs followed while they grow and rotate: read after eight hours of each day, then with the whole day, whose last eight
+# hours went to a new file, then once more with nothing new.
+@query("stream_tail", f"""WITH {R.LOGS_SQL}, told AS (SELECT file, line_no, value, hour(ts) AS h FROM facts)
+SELECT file, CAST(coalesce(sum(strlen(value) + 1) OVER (PARTITION BY file, h < 16 ORDER BY h, line_no
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, value FROM told""")
+def stream_tail(spark, sf_dir):
+    lines = R.log_lines(spark, sf_dir).withColumn("h", F.substring("value", 12, 2).cast("int"))
+    ordered = lines.withColumn("line_no", F.col("h") * F.lit(10 ** 15) + F.col("line_no"))
+    rotates = ordered.groupBy("file").agg((F.max("h") >= 16).alias("rotates"))
+    folder, out, progress = (scratch_path(spark, name) for name in ("live-logs", "alerts", "progress"))
+
+    def follow():
+        return M.run_append(tail_logs(spark, folder), out, progress)
+
+    write_logs(ordered.where("h < 8").select("file", "line_no", "value"), folder)
+    follow()
+    # What was there goes on under the rotated name, the rest of the day under the current one.
+    old = F.when(F.col("rotates"), F.concat("file", F.lit(".1"))).otherwise(F.col("file"))
+    write_logs(ordered.where("h < 16").join(rotates, "file").select(old.alias("file"), "line_no", "value"), folder)
+    write_logs(ordered.where("h >= 16").select("file", "line_no", "value"), folder)
+    follow()
+    return follow()
