@@ -10,10 +10,11 @@ from pagelens.catalog.registry import query
 from pagelens.operators.chunking import window_chunks
 from pagelens.operators.embedding import hashed_words
 from pagelens.operators.inference import generate
-from pagelens.operators.search import nearest, retrieve, with_records
+from pagelens.operators.cells import StoredCells
+from pagelens.operators.search import nearest, nearest_stored, retrieve, with_records
 from pagelens.plans.answer import answer, build_prompts, find, format_context
 from pagelens.plans.ingest import text_records
-from pagelens.session import materialize
+from pagelens.session import materialize, scratch_path
 
 _SCORE = "round(score, 6) + 0.0 AS score"
 
@@ -57,18 +58,41 @@ def knn_by_cells(spark, sf_dir):
     return _ranked(nearest(R.records(spark, sf_dir), R.vector_questions(spark, sf_dir), broadcast_bytes=0, pivots=16, group_bytes=64 << 10))
 
 
-# Approximate: each question visits its 8 nearest cells of every collection, cells by 16 pivots.
-@query("knn_probed", f"""WITH {R.RECORDS_SQL},
-pivots AS (SELECT row_number() OVER () AS cell, v AS p FROM (SELECT v FROM corpus ORDER BY md5(id), id LIMIT 16)),
-placed AS (SELECT c.collection, c.id, c.v, arg_min(cell, list_distance(v, p)) AS cell FROM corpus c, pivots GROUP BY ALL),
-asked AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings),
-visited AS (SELECT qid, q, collection, cell FROM asked, (SELECT DISTINCT collection, cell FROM placed) JOIN pivots USING (cell)
-  QUALIFY row_number() OVER (PARTITION BY qid, collection ORDER BY list_distance(q, p), cell) <= 8),
-ranked AS (SELECT qid, collection, id, pow(list_distance(q, v), 2) AS score, row_number() OVER (PARTITION BY qid, collection ORDER BY pow(list_distance(q, v), 2), id) AS rank
-  FROM visited JOIN placed USING (collection, cell) QUALIFY rank <= 4)
-SELECT qid, collection, id, {_SCORE}, rank FROM ranked""")
+# Inner products by cells: the way for more questions than may be broadcast, exact as well.
+@query("ip_by_cells", f"WITH {R.hits_sql(R.IP_SQL)} SELECT qid, collection, id, {_SCORE}, rank FROM ranked")
+def ip_by_cells(spark, sf_dir):
+    return _ranked(nearest(R.records(spark, sf_dir), R.vector_questions(spark, sf_dir), metric="ip", broadcast_bytes=0, group_bytes=64 << 10))
+
+
+# Cells stored in two batches at ingest, then searched: only folders of visited cells are read.
+@query("knn_stored_cells", f"WITH {R.hits_sql(R.L2_SQL)} SELECT qid, collection, id, {_SCORE}, rank FROM ranked")
+def knn_stored_cells(spark, sf_dir):
+    records = R.records(spark, sf_dir)
+    late = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
+    stored = StoredCells(spark, scratch_path(spark, "stored-cells"))
+    stored.create(records.where(~late), batch="first")
+    stored.append(records.where(late), "second")
+    return _ranked(nearest_stored(stored.load(), R.vector_questions(spark, sf_dir)))
+
+
+RECALL = 0.95  # asked for, so that what is found stays above 0.9
+
+
+def probed_hits(spark, sf_dir):
+    return nearest(R.records(spark, sf_dir), R.vector_questions(spark, sf_dir), recall=RECALL)
+
+
+# Approximate search, held against the exact one: how many true neighbours there are, whether nine in ten of them were
+# found, and that what was found has its true score.
+@query("knn_probed", f"""WITH {R.hits_sql(R.L2_SQL)}
+SELECT collection, count(*) AS n_true, true AS recall_ok, 0 AS n_wrong_score FROM ranked GROUP BY collection""")
 def knn_probed(spark, sf_dir):
-    return _ranked(nearest(R.records(spark, sf_dir), R.vector_questions(spark, sf_dir), probes=8, pivots=16))
+    near = probed_hits(spark, sf_dir).select("qid", "collection", "id", F.col("score").alias("near_score"))
+    exact = nearest(R.records(spark, sf_dir), R.vector_questions(spark, sf_dir))
+    both = exact.join(near, ["qid", "collection", "id"], "left")
+    return both.groupBy("collection").agg(
+        F.count(F.lit(1)).alias("n_true"), (F.count("near_score") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"),
+        F.count_if(F.abs(F.col("near_score") - F.col("score")) > 1e-9).alias("n_wrong_score"))
 
 
 @query("hit_records", f"""WITH {R.hits_sql(R.L2_SQL)}

@@ -5,68 +5,38 @@ score, rank); lower scores are nearer and equal scores are ordered by id.
 
 * Few questions (their matrix passes a size check): the matrix is broadcast and the corpus is read
   once, without a shuffle. Each task keeps its best k per question; a window merges the tasks.
-* More questions: corpus and questions are grouped by nearest pivot. The triangle inequality shows
-  which cells can hold one of a question's k nearest, and only those are compared. The result is
-  still exact. Cells are cut into slices and questions into blocks, so neither a popular cell nor a
-  large batch of questions ends in one task.
-* ``probes=n`` visits only the n nearest cells: approximate search.
+* More questions: corpus and questions are grouped by nearest pivot (``operators/cells.py``), and only cells that
+  can hold one of a question's k nearest are compared. The result is still exact. Cells are cut into slices and questions into
+  blocks, so neither a popular cell nor a large batch of questions ends in one task.
+* ``recall=r`` visits as many of the nearest cells as hold a share r of the neighbours of sampled questions;
+  ``probes=n`` visits n: approximate search.
+* ``nearest_stored`` searches cells that were stored at ingest.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from pagelens.model import COLLECTIONS, layout
-from pagelens.operators.topk import NearestSoFar, unit
+from pagelens.model import COLLECTIONS
+from pagelens.operators.cells import GROUP_BYTES, Cells, arrow_schema, hit_rows, hit_schema, id_array, matrix
+from pagelens.operators.topk import NearestSoFar
 from pagelens.session import materialize
 
 DEFAULT_K = 4
 DEFAULT_TOP_N = 6
 BROADCAST_BYTES = 64 << 20
-MIN_PIVOTS = 128
-MAX_PIVOTS = 8192  # distances of an Arrow batch to all pivots stay below 300 MB
 HIT_BYTES = 256  # generous size of one hit in memory
 MERGE_ROWS = 10_000_000
-GROUP_BYTES = 32 << 20  # vectors of one cell slice or one question block in a task
 
 
 def k_or_default(k: int | None) -> int:
     return k or DEFAULT_K
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
-    """Arrow list column without null lists to a float matrix; a vector of another length is an error."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = column.value_lengths()
-    if len(column) and pc.min_max(lengths).as_py() != {"min": dimensions, "max": dimensions}:
-        raise ValueError(f"every vector must have {dimensions} elements")
-    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), dimensions)
-
-
-def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    values = column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
-    return values.astype("U") if values.dtype == object else values
-
-
-def _hits(qids: pa.Array, collection: str, best: NearestSoFar, schema: pa.Schema) -> pa.RecordBatch:
-    names = pa.array([collection] * len(best.row), pa.string())
-    return pa.RecordBatch.from_arrays(
-        [qids.take(pa.array(best.row)).cast(schema.field("qid").type), names,
-         pa.array(best.id).cast(schema.field("id").type), pa.array(best.score)], schema=schema)
-
-
-def _hit_schema(corpus: DataFrame, questions: DataFrame) -> T.StructType:
-    return layout(qid=questions.schema["qid"].dataType, collection=T.StringType(),
-                  id=corpus.schema["id"].dataType, score=T.DoubleType())
-
-
 def _rank(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid", "collection").orderBy("score", "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -74,35 +44,49 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
 
 def nearest(
     corpus: DataFrame, questions: DataFrame, k: int | None = None, metric: str = "l2sq", *,
-    probes: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, pivots: int | None = None,
-    group_bytes: int = GROUP_BYTES,
+    recall: float | None = None, probes: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+    pivots: int | None = None, group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest records per question and collection. ``qid`` and, per collection, ``id`` are
     keys. Records without a vector, or with one that has a missing or infinite element, are not found."""
-    return _nearest(corpus, questions, k, metric, probes, broadcast_bytes, pivots, group_bytes)[0]
+    return _nearest(corpus, questions, k, metric, recall, probes, broadcast_bytes, pivots, group_bytes)[0]
+
+
+def nearest_stored(
+    cells: Cells, questions: DataFrame, k: int | None = None, *, recall: float | None = None, probes: int | None = None,
+    group_bytes: int = GROUP_BYTES,
+) -> DataFrame:
+    """``nearest`` over cells that are there already, e.g. ``StoredCells(spark, path).load()``."""
+    k = k_or_default(k)
+    questions = materialize(questions.select("qid", "qvec").where(F.col("qvec").isNotNull()), "questions")
+    if recall is not None:
+        probes = cells.probes_for(questions, k, recall)
+    return _rank(cells.search(questions, k, probes, group_bytes), k)
 
 
 def _nearest(
-    corpus: DataFrame, questions: DataFrame, k: int | None, metric: str = "l2sq", probes: int | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES, pivots: int | None = None, group_bytes: int = GROUP_BYTES,
+    corpus: DataFrame, questions: DataFrame, k: int | None, metric: str = "l2sq", recall: float | None = None,
+    probes: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, pivots: int | None = None, group_bytes: int = GROUP_BYTES,
 ) -> tuple[DataFrame, int | None]:
     """Hits, and the number of questions where it had to be counted for the size check."""
     k = k_or_default(k)
     corpus = corpus.select("collection", "id", "embedding").where(F.col("embedding").isNotNull())
     questions = questions.select("qid", "qvec").where(F.col("qvec").isNotNull())
     probe = questions.first()
-    schema = _hit_schema(corpus, questions)
+    schema = hit_schema(corpus, questions)
     if probe is None:
         return _rank(corpus.sparkSession.createDataFrame([], schema), k), 0
     dimensions = len(probe["qvec"])
-    if probes is None:
+    if probes is None and recall is None:
         fits = broadcast_bytes // (8 * dimensions)
         # At most one row more than may be broadcast reaches the driver.
         taken = questions.limit(fits + 1).toArrow()
         if taken.num_rows <= fits:
             return _rank(_scan(corpus, taken, k, metric, schema, dimensions), k), taken.num_rows
-    group_rows = max(1, group_bytes // (8 * dimensions))
-    return _rank(_by_cells(corpus, questions, k, metric, schema, dimensions, probes, pivots, group_rows), k), None
+    cells = Cells.build(corpus, metric, dimensions, pivots)
+    if cells is None:
+        return _rank(corpus.sparkSession.createDataFrame([], schema), k), None
+    return nearest_stored(cells, questions, k, recall=recall, probes=probes, group_bytes=group_bytes), None
 
 
 def _scan(
@@ -110,14 +94,14 @@ def _scan(
 ) -> DataFrame:
     spark = corpus.sparkSession
     qids = questions.column("qid").combine_chunks()
-    shared = spark.sparkContext.broadcast(_matrix(questions.column("qvec"), dimensions))
-    arrow = _arrow_schema(schema)
+    shared = spark.sparkContext.broadcast(matrix(questions.column("qvec"), dimensions))
+    arrow = arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, NearestSoFar] = {}
         for batch in batches:
-            collections, ids = batch.column("collection"), _ids(batch.column("id"))
-            vectors = _matrix(batch.column("embedding"), dimensions)
+            collections, ids = batch.column("collection"), id_array(batch.column("id"))
+            vectors = matrix(batch.column("embedding"), dimensions)
             names = np.asarray(collections.to_numpy(zero_copy_only=False))
             for name in collections.unique().to_pylist():
                 chosen = names == name
@@ -126,7 +110,7 @@ def _scan(
                 best[name].add(ids[chosen], vectors[chosen])
         for name, found in best.items():
             if len(found.row):
-                yield _hits(qids, name, found, arrow)
+                yield hit_rows(qids, name, found, arrow)
 
     # A task emits k rows per question however much it reads. Only where that would be too many rows to merge are
     # partitions read together; a few questions leave the scan, and an embedder ahead of it, as parallel as it comes.
@@ -134,139 +118,6 @@ def _scan(
     return corpus.coalesce(tasks).mapInArrow(search, schema)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
-def _by_cells(
-    corpus: DataFrame, questions: DataFrame, k: int, metric: str, schema: T.StructType, dimensions: int,
-    probes: int | None, pivots: int, group_rows: int,
-) -> DataFrame:
-    # Pivots: a repeatable choice, about the square root of the corpus, so that cells and their number grow alike.
-    # Exact results do not hang on the choice, only the cost does.
-    if pivots is None:
-        pivots = min(max(MIN_PIVOTS, math.isqrt(corpus.count())), MAX_PIVOTS)
-    spherical = metric == "cosine"
-    usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    if spherical:
-        usable = usable & F.exists("embedding", lambda x: x != 0)
-    chosen = (
-        corpus.where(usable).orderBy(F.md5(F.col("id").cast("string")), "id").select("embedding").limit(pivots).toArrow().column("embedding")
-    )
-    if len(chosen) == 0:
-        return corpus.sparkSession.createDataFrame([], schema)
-    centres = _matrix(chosen, dimensions)
-    if spherical:
-        centres = unit(centres)
-    near = corpus.sparkSession.sparkContext.broadcast(centres)
-
-    def reach(vectors: np.ndarray) -> np.ndarray:
-        v = unit(vectors) if spherical else vectors
-        c = near.value
-        squared = (v * v).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2.0 * (v @ c.T)
-        return np.sqrt(np.maximum(squared, 0.0))
-
-    placed_schema = T.StructType([*corpus.schema.fields, T.StructField("cell", T.IntegerType()),
-                                  T.StructField("reach", T.DoubleType())])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                gaps = reach(_matrix(batch.column("embedding"), dimensions))
-                usable = np.isfinite(gaps).all(axis=1)
-                gaps, batch = gaps[usable], batch.filter(pa.array(usable))
-                cell = gaps.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell.astype("int32")), pa.array(gaps[np.arange(len(cell)), cell])],
-                    schema=_arrow_schema(placed_schema))
-
-    placed = materialize(corpus.mapInArrow(place, placed_schema), "cells")
-    # One row per collection and cell: at most pivots x collections rows reach the driver.
-    stats = (
-        placed.groupBy("collection", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
-        .orderBy("collection", "cell").toPandas()
-    )
-    stats["slices"] = np.ceil(stats["n"] / group_rows).astype("int64").clip(lower=1)
-    by_collection = {c: g.reset_index(drop=True) for c, g in stats.groupby("collection")}
-    wanted_schema = layout(
-        qid=questions.schema["qid"].dataType, qvec=T.ArrayType(T.DoubleType()), collection=T.StringType(),
-        cell=T.IntegerType())
-    wanted_arrow = _arrow_schema(wanted_schema)
-
-    def choose(gaps: np.ndarray, cells) -> np.ndarray:
-        """Mask (questions x cells) of the cells to visit."""
-        to_pivot = gaps[:, cells["cell"].to_numpy()]
-        radius, n = cells["radius"].to_numpy()[None, :], cells["n"].to_numpy()
-        if probes is not None:
-            rank = to_pivot.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-            return rank < probes
-        if metric == "ip":  # inner products obey no triangle inequality
-            return np.ones_like(to_pivot, dtype=bool)
-        farthest = to_pivot + radius
-        order = farthest.argsort(axis=1)
-        filled = np.cumsum(n[order], axis=1) >= k
-        at = np.where(filled.any(axis=1), filled.argmax(axis=1), farthest.shape[1] - 1)
-        rows = np.arange(len(farthest))
-        bound = farthest[rows, order[rows, at]]
-        return to_pivot - radius <= bound[:, None] * (1 + 1e-9) + 1e-9
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _matrix(batch.column("qvec"), dimensions)
-            gaps = reach(vectors)
-            for collection, cells in by_collection.items():
-                row, col = np.nonzero(choose(gaps, cells) & np.isfinite(gaps).all(axis=1)[:, None])
-                cell = cells["cell"].to_numpy()[col]
-                for a in range(0, len(row), 4096):
-                    some = row[a:a + 4096]
-                    picked = batch.take(pa.array(some))
-                    yield pa.RecordBatch.from_arrays(
-                        [picked.column("qid"), picked.column("qvec").cast(pa.list_(pa.float64())),
-                         pa.array([collection] * len(some), pa.string()),
-                         pa.array(cell[a:a + 4096].astype("int32"))],
-                        schema=wanted_arrow)
-
-    wanted = materialize(questions.mapInArrow(route, wanted_schema), "questions")
-    # Per cell: slices by its records, blocks by the questions that visit it. A record goes out once for each block of
-    # its own cell, and not at all if no question comes.
-    visits = wanted.groupBy("collection", "cell").count().toPandas()  # bounded like stats
-    visits["blocks"] = np.ceil(visits["count"] / group_rows).astype("int64").clip(lower=1)
-    met = stats[["collection", "cell", "slices"]].merge(visits[["collection", "cell", "blocks"]], on=["collection", "cell"])
-    plan = F.broadcast(corpus.sparkSession.createDataFrame(
-        met, "collection string, cell int, slices bigint, blocks bigint"))  # pivots x collections rows
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-
-    wanted = (
-        wanted.join(plan, ["collection", "cell"])
-        .withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
-        .withColumn("slice", every("slices")).drop("slices", "blocks")
-    )
-    sliced = (
-        placed.join(plan, ["collection", "cell"])
-        .withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-        .withColumn("block", every("blocks"))
-        .select("collection", "cell", "slice", "block", "id", "embedding")
-    )
-    arrow = _arrow_schema(schema)
-    keys = ["collection", "cell", "slice", "block"]
-
-    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows or not held.num_rows:
-            return arrow.empty_table()
-        best = NearestSoFar(_matrix(asked.column("qvec"), dimensions), k, metric)
-        best.add(_ids(held.column("id")), _matrix(held.column("embedding"), dimensions))
-        collection = held.column("collection")[0].as_py()
-        return pa.Table.from_batches([_hits(asked.column("qid").combine_chunks(), collection, best, arrow)])
-
-    return wanted.groupBy(*keys).cogroup(sliced.groupBy(*keys)).applyInArrow(compare, schema)
-
-
 def merge_collections(
     hits: DataFrame, top_n: int = DEFAULT_TOP_N, collections: Sequence[str] = COLLECTIONS,
 ) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.operators.search import merge_collections, nearest, retrieve, with_records
+from pagelens.operators.cells import Cells, StoredCells
+from pagelens.operators.search import merge_collections, nearest, nearest_stored, retrieve, with_records
 
 CORPUS = "collection string, id string, embedding array<float>"
 QUESTIONS = "qid bigint, qvec array<float>"
@@ -108,12 +109,83 @@ def test_default_k_and_collections(spark):
     assert {r.collection for r in only.select("collection").distinct().collect()} == {"pdf_tables"}
 
 
-def test_probed_recall(spark):
-    corpus, questions = make(spark, n=2000)
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_recall_is_kept(spark, metric):
+    """Probes found on a sample hold the asked share of all neighbours, without visiting every cell."""
+    corpus, questions = make(spark, n=3000, questions=400)
     df, asked = spark.createDataFrame(corpus, CORPUS), spark.createDataFrame(questions, QUESTIONS)
-    exact = {(q, c, i) for (q, c, _), (_, i) in found(nearest(df, asked)).items()}
-    near = {(q, c, i) for (q, c, _), (_, i) in found(nearest(df, asked, probes=8, pivots=32)).items()}
-    assert len(exact & near) / len(exact) >= 0.8
+    exact = {(q, c, i) for (q, c, _), (_, i) in found(nearest(df, asked, metric=metric)).items()}
+    near = {(q, c, i) for (q, c, _), (_, i) in found(nearest(df, asked, metric=metric, recall=0.95, pivots=32)).items()}
+    assert len(exact & near) / len(exact) >= 0.9
+    cells = Cells.build(df, metric, 6, 32)
+    assert 1 <= cells.probes_for(asked, 4, 0.95) < 32
+    assert cells.probes_for(asked, 4, 0.5) <= cells.probes_for(asked, 4, 0.95) <= cells.probes_for(asked, 4, 1.0)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_recall(spark, sf):
+    """The registered approximate search against brute force on the shared tables, with its registered parameters."""
+    from pagelens.catalog import roles
+
+    folder = f"/root/testdata/{sf}"
+    near = {(r.qid, r.collection, r.id) for r in roles_hits(spark, folder).collect()}
+    records = roles.records(spark, folder).select("collection", "id", "embedding").toPandas()
+    asked = roles.vector_questions(spark, folder).toPandas()
+    q = np.array(asked["qvec"].tolist(), dtype="float64")
+    true = set()
+    for collection, held in records.groupby("collection"):
+        v = np.array(held["embedding"].tolist(), dtype="float64")
+        scores = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * q @ v.T
+        first = np.argsort(scores, axis=1, kind="stable")[:, :4]
+        true |= {(qid, collection, held["id"].iloc[i]) for qid, row in zip(asked["qid"], first, strict=True) for i in row}
+    assert len(near & true) / len(true) >= 0.9
+
+
+def roles_hits(spark, folder):
+    from pagelens.catalog.retrieval import probed_hits
+
+    return probed_hits(spark, folder)
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_few_cells_are_visited(spark, metric):
+    """Clustered records: the triangle inequality leaves most cells out, for inner products as well."""
+    rng = np.random.default_rng(3)
+    at = rng.normal(size=(20, 8)) * 10
+    vectors = np.concatenate([a + rng.normal(size=(60, 8)) * 0.1 for a in at])
+    corpus = [("pdf_text", f"id{i:04d}", v.tolist()) for i, v in enumerate(vectors)]
+    questions = [(i, (at[i] + rng.normal(size=8) * 0.1).tolist()) for i in range(20)]
+    df = spark.createDataFrame(corpus, "collection string, id string, embedding array<double>")
+    asked = spark.createDataFrame(questions, "qid bigint, qvec array<double>")
+    cells = Cells.build(df, metric, 8, 60)
+    visits = cells.visits(asked, 5).count()
+    assert visits < 0.5 * len(questions) * len(cells.stats)
+    assert found(nearest(df, asked, 5, metric, broadcast_bytes=0, pivots=60)) == brute(corpus, questions, 5, metric)
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_stored_cells(spark, tmp_path, metric, plan_of):
+    corpus, questions = make(spark, n=600, copies=0.2)
+    longest = max(range(600), key=lambda i: np.linalg.norm(corpus[i][2]))
+    corpus[0], corpus[longest] = (corpus[0][0], corpus[0][1], corpus[longest][2]), (corpus[longest][0], corpus[longest][1], corpus[0][2])
+    df = spark.createDataFrame(corpus, CORPUS).where("embedding is not null")
+    asked = spark.createDataFrame(questions, QUESTIONS)
+    stored = StoredCells(spark, str(tmp_path / "cells"))
+    stored.create(spark.createDataFrame(corpus[:400], CORPUS), metric, pivots=12, batch="a")
+    stored.append(spark.createDataFrame(corpus[400:], CORPUS), "b")
+    stored.append(spark.createDataFrame(corpus[400:], CORPUS), "b")  # a repeated batch replaces itself
+    stored.append(spark.createDataFrame([], CORPUS), "c")
+    hits = nearest_stored(stored.load(), asked, 5)
+    assert found(hits) == brute(corpus, questions, 5, metric) == found(nearest(df, asked, 5, metric))
+    assert "dynamicpruning" in plan_of(hits)
+    # Records of a batch whose counts were never written are not seen.
+    import shutil
+
+    shutil.rmtree(tmp_path / "cells" / "counts" / "batch=b")
+    assert found(nearest_stored(stored.load(), asked, 5)) == brute(corpus[:400], questions, 5, metric)
+    if metric == "ip":
+        with pytest.raises(Exception, match="longer than the longest"):
+            stored.append(spark.createDataFrame([("pdf_text", "x", [100.0] * 6)], CORPUS), "d")
 
 
 def test_plan(spark, plan_of):
