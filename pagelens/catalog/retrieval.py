@@ -85,7 +85,7 @@ def probed_hits(spark, sf_dir):
 # Approximate search, held against the exact one: how many true neighbours there are, whether nine in ten of them were
 # found, and that what was found has its true score.
 @query("knn_probed", f"""WITH {R.hits_sql(R.L2_SQL)}
-SELECT collection, count(*) AS n_true, true AS recall_ok, 0 AS n_wrong_score FROM ranked GROUP BY collection""")
+SELECT collection, count(*) AS n_true, true AS recall_ok, CAST(0 AS BIGINT) AS n_wrong_score FROM ranked GROUP BY collection""")
 def knn_probed(spark, sf_dir):
     near = probed_hits(spark, sf_dir).select("qid", "collection", "id", F.col("score").alias("near_score"))
     exact = nearest(R.records(spark, sf_dir), R.vector_questions(spark, sf_dir))
