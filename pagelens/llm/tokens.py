@@ -14,8 +14,8 @@ from array import array
 from collections.abc import Callable
 
 VOCABULARY = "word_bpe_49k.json"
-# Pieces that a process remembers before it starts anew (about 80 MB), and as many words.
-CACHE_PIECES = 300_000
+# Pieces that a process remembers (about 120 MB), besides those of the text at hand.
+CACHE_PIECES = 600_000
 _NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 # The public byte-level alphabet, a rule. Printable bytes stand for themselves, the others for
 # the characters from 256 on.
@@ -33,13 +33,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _NATIVE else b"".join(i.to_bytes(4, "little") for i in ids)
+
+
 class _Remembered(dict):
-    """Results of a function. Those used since the last turn stay, so what is frequent is never forgotten: at half the
-    bound the present ones become the old ones, from which they return when asked for."""
+    """Results of a function for the keys asked for. What was used since the last turn stays for another one, so what is
+    frequent is never forgotten."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
@@ -48,10 +52,9 @@ class _Remembered(dict):
         self[key] = found
         return found
 
-    def age(self) -> None:
-        if len(self) > self.most // 2:
-            self.old = dict(self)
-            self.clear()
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
 
 def _latin(text: str) -> bool:
@@ -78,47 +81,37 @@ def worker_encoder(path: str | None = None) -> Callable[[str | None], bytes]:
 def encoder(path: str | None = None, cache_pieces: int = CACHE_PIECES) -> Callable[[str | None], bytes]:
     """A function from text to its ids as bytes. Null is the empty text.
 
-    ``path``: the vocabulary file on every worker (default: the installed public one). Two caches of at most
-    ``cache_pieces`` each: pieces as they stand, and bare words (lower case, without a mark behind them), which are far fewer.
+    ``path``: the vocabulary file on every worker (default: the installed public one). ``cache_pieces`` are remembered: words
+    in lower case, and whatever else stands between blanks.
     """
-    import numpy as np
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path or vocabulary_path())
     whole.encode_special_tokens = True  # their strings in a text are ordinary text
     model, alphabet = whole.model, _alphabet()
-    # A lower-case word of letters that need no normalising, with at most one punctuation mark behind it, is what the
-    # normaliser and the pre-tokenizer leave as it is, so it may go straight to the model.
+    # A lower-case word of letters that need no normalising is what the normaliser and the pre-tokenizer leave as it is,
+    # so it may go straight to the model.
     plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
     ascii_blanks = re.compile(r"[^\x20\x09-\x0d]+").findall
-
-    def packed(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
-
-    marks = {m: packed([x.id for x in model.tokenize(m)]) for m in ".,;:!?"} | {"": b""}
-
-    def of_word(word: str) -> bytes:
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
-        return packed([x.id for x in model.tokenize(mapped)])
-
-    words = _Remembered(of_word, cache_pieces)
+    marks = {m: _packed([x.id for x in model.tokenize(m)]) for m in ".,;:!?"}
 
     def of_piece(piece: str) -> bytes:
-        word, mark = piece.lower(), ""
-        if not word.isalpha() and word[-1] in marks:
-            word, mark = word[:-1], word[-1]
-        if word.isascii() and word.isalpha() or plain(word):
-            return words[word] + marks[mark]
-        return packed(whole.encode(piece, add_special_tokens=False).ids)
+        last = piece[-1]
+        if last in marks and piece[-2:-1].isalpha():  # a single mark between a letter and a blank is a token of its own
+            return pieces[piece[:-1]] + marks[last]
+        if plain(piece):
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(alphabet)
+            return _packed([x.id for x in model.tokenize(mapped)])
+        return _packed(whole.encode(piece, add_special_tokens=False).ids)
 
-    pieces = _Remembered(of_piece, cache_pieces)
+    pieces = _Remembered(of_piece)
 
     def encode(text: str | None) -> bytes:
         text = text or ""
-        pieces.age()
-        words.age()
         if _latin(text):  # one form of each piece; elsewhere lower-casing may depend on what stands beside a letter
             text = text.lower()
+        if len(pieces) > cache_pieces // 2:
+            pieces.turn()
         # str.split() also cuts at four control characters that are no white space to the vocabulary.
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         return b"".join(map(pieces.__getitem__, ascii_blanks(text) if odd else text.split()))
