@@ -41,14 +41,14 @@ from docs left join per using (doc)"""
 
 TOPK_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
   where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 pairs as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+  select q.n, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.n <> q.n),
 ranked as (
-  select *, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank from pairs)
+  select *, (row_number() over (partition by n order by score desc, vec_id))::integer as rank from pairs)
 select query_id, rank, vec_id, score from ranked where rank <= 10"""
 
 
