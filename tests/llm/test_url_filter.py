@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import defaultdict
+from functools import reduce
 
-from pagelens.llm.url_filter import RULES, base_rule, decide, report, rule_index, url_tokens
+from pyspark.sql import functions as F
+
+from pagelens.llm.url_filter import (
+    MORE_RULES, RULES, base_rule, decide, host_rules, report, rule_index, rule_table, url_tokens, word_rule,
+)
 
 URLS = [
     None, "", "no scheme", "http://example.org", "http://example.org/", "https://EXAMPLE.org/es/1", "http://a.example.org/en/12?x=/es/",
     "http://notexample.org/es/", "http://example.org/en/2", "http://x.com/fr/1", "http://com/fr/", "http://xcom/fr/1", "http://a.com/de/#q",
     "http://a.com?/de/", "http://a.com#/de/", "http://a.org:80/x", "http://casino.net/a", "http://casinos.net/a", "http://a.net/login/x", "http://1.2.3.4/x",
-    "http://b.net/http://org/", "x://y.org/é/ü", "http://a.org/casino", "://org/", "http://", "http://a\n.org/x", "http://a.net/signin.php",
+    "http://b.net/http://org/", "x://y.org/é/ü", "http://a.org/casino", "://org/", "http://", "http://a\n.org/x", "http://a.net/signin.php", "http://a.net/logout", "http://a.net/x/Logout/y", "http://a.net/signin",
+    "http://a.net/cart/checkout", "http://a.net/shop/cart/add.php", "http://a.net/cart/remove", "http://a.net/login-help", "http://a.net/my_login",
 ]
 BASE = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 BAD = {"porn", "xxx", "casino", "betting", "viagra", "torrent", "warez", "doubleclick", "adserver"}
@@ -50,7 +58,48 @@ def test_clashing_columns(spark):
 
 def test_rules_lie_under_their_rarest_token(spark):
     urls = spark.createDataFrame([("a.org/fr/x",), ("b.org/es/y",), ("example.org/fr/",)], "target string")
-    index = {r.rule: r.token for r in rule_index(urls, RULES).collect()}
+    index = {r.rule: r.token for r in rule_index(urls, rule_table(spark)).where("rule <> 'login form'").collect()}
     assert index["org/"] == "org" and index["example.org/es/"] in ("es", "example") and index["raw ip"] is None
-    assert base_rule("example.org", "/en/1", "block").tokens == ("example", "org", "en")
+    assert base_rule("example.org", "/en/1", "block").tokens == (("example", "org", "en"),)
     assert {r.token for r in url_tokens(urls.limit(1)).collect()} == {"a", "org", "fr", "x"}
+    login = {r.token for r in rule_index(urls, rule_table(spark)).where("rule = 'login form'").collect()}
+    assert login == {"login", "signin", "logout"}  # one place for each alternative
+
+
+def test_index_fetches_every_rule_that_fits(spark):
+    """URLs made from every branch of every pattern: the index gives what trying every rule on every URL gives."""
+    parts = ["login", "signin", "logout", "cart/add", "cart/checkout", "shop/cart/add", *(r.rule for r in MORE_RULES if " " not in r.rule)]
+    urls = [f"http://{h}/{a}{p}{z}" for p in parts for h in ("h.net", "1.2.3.4", "1.2.3.4:80") for a in ("", "x/", "x-") for z in ("", ".php", "/y", "-y", "y")]
+    urls += [f"http://{p}.net/" for p in parts if "/" not in p] + [f"http://{s}{h}{p}{z}" for h, p, _ in BASE for s in ("", "a.", "a") for z in ("", "x", "/x")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = report(pages)
+    for r in got.collect():
+        assert (r.host, r.path, r.rule, r.verdict) == brute(urls[r.page_id]), urls[r.page_id]
+    # The same by Spark's own expressions, every rule on every URL.
+    target, none = F.concat("host", "path"), F.lit(False)
+    fits = {base: reduce(lambda a, r: a | target.rlike(r.pattern), [r for r in RULES if r.base == base], none) for base in (True, False)}
+    wrong = got.where(fits[True] != F.col("rule").isNotNull()).count() + got.where("rule is null").where(fits[False] != (F.col("verdict") == "block")).count()
+    assert wrong == 0
+
+
+def test_loaded_rules(spark):
+    """Thousands of host and path rules from a table, with word rules beside them, against plain Python."""
+    rng = random.Random(5)
+    hosts = [f"h{i}.{rng.choice(['net', 'info', 'co.uk'])}" for i in range(3000)]
+    listed = {(rng.choice(["", "a."]) + h, rng.choice(["/", "/x", "/x/", "/x/y.z", "/(x)/"])): rng.choice(["allow", "block"]) for h in hosts for _ in range(2)}
+    table = host_rules(spark.createDataFrame([(h, p, v) for (h, p), v in listed.items()], "host string, path string, verdict string"))
+    words = rule_table(spark, [word_rule(f"w{i}") for i in range(500)])
+    urls = [f"http://{rng.choice(['', 'a.', 'b.a.', 'b'])}{rng.choice(hosts)}{rng.choice(['', '/', '/x', '/xy', '/x/', '/x/y.zz', '/(x)/', '/w7/x', '/w7x'])}" for _ in range(2000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    by_host = defaultdict(list)
+    for (h, p), v in listed.items():
+        by_host[h].append((p, v))
+    seen = set()
+    for r in decide(pages, rules=table.unionByName(words)).collect():
+        labels = r.host.split(".")
+        fits = [(len(h + p), h + p, v) for i in range(len(labels)) for h in [".".join(labels[i:])] for p, v in by_host[h] if r.path.startswith(p)]
+        bad = set(re.split(r"[\W_]+", (r.host + r.path).lower())) & {f"w{i}" for i in range(500)}
+        want = max(fits)[1:] if fits else (None, "block" if bad else "allow")
+        assert (r.rule, r.verdict) == want, urls[r.page_id]
+        seen.add((r.rule is None, r.verdict))
+    assert len(seen) == 4
