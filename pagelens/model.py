@@ -37,3 +37,5 @@ RECORDS = layout(
 # A stored record knows the batch that wrote it; a replaced one is listed by id and its batch.
 STORED = T.StructType([*RECORDS.fields, T.StructField("batch", _L)])
 REPLACED = layout(id=_S, old_batch=_L, batch=_L)
+HASHES = layout(doc_hash=_S, prefix=_S, batch=_L)
+BATCHES = layout(n_records=_L, batch=_L)

@@ -43,8 +43,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def not_indexed(incoming: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
-    """Only rows whose ``doc_hash`` no stored record carries; reads one stored column. A document of very many
-    records is one hash per task before the shuffle."""
+    """Only rows whose ``doc_hash`` is not among the stored ones. ``stored`` is anything with that column, best a store's
+    ``known_hashes``; a document of very many records is one hash per task before the shuffle."""
     return incoming if force else incoming.join(stored.select("doc_hash").distinct(), "doc_hash", "left_anti")
 
 

@@ -17,7 +17,7 @@ from pagelens.operators.inference import caption, recognise_text
 from pagelens.operators.numbering import running_number, running_total
 from pagelens.session import materialize, spread
 from pagelens.sources.files import cap_pages, with_figure_paths, write_figures
-from pagelens.sources.store import RecordStore
+from pagelens.sources.store import REJECTS, RecordStore
 from pagelens.sources.tables import table_records, write_sidecars, write_table_csv
 
 Embedder = Callable[[Column], Column]
@@ -169,6 +169,33 @@ def all_records(
     return spread(records).withColumn("embedding", (embed or hashed_words())(F.col("text"))).select(*RECORDS.names)
 
 
+KINDS = ("pages", "cells", "images")
+
+
+def unusable(kind: str) -> Column:
+    """Why a row cannot be taken, whatever the files are; null if it can."""
+    reason = F.when(F.coalesce(F.col("pdf_path"), F.lit("")) == "", "no path")
+    if kind == "cells":
+        return reason.when(F.col("row_no").isNull(), "no row number")
+    return reason.when(F.col("content").isNull(), "no content") if kind == "images" else reason
+
+
+def rejected(given: dict[str, DataFrame], files: DataFrame) -> DataFrame:
+    """(kind, pdf_path, reason, n_rows) of the rows of ``given`` that cannot be taken. Counted by path in every task before the paths
+    meet ``files``, so texts and bytes are neither read nor shuffled."""
+    listed = files.select("pdf_path").distinct().withColumn("_listed", F.lit(True))
+    found = None
+    for kind, rows in given.items():
+        counted = rows.select("pdf_path", unusable(kind).alias("reason")).groupBy("pdf_path", "reason").agg(
+            F.count(F.lit(1)).alias("n_rows"))
+        reason = F.coalesce("reason", F.when(F.col("_listed").isNull(), "file not listed"))
+        judged = counted.join(listed, "pdf_path", "left").select(F.lit(kind).alias("kind"), "pdf_path", reason.alias("reason"), "n_rows")
+        found = judged if found is None else found.unionByName(judged)
+    if found is None:
+        return files.sparkSession.createDataFrame([], REJECTS)
+    return found.where("reason is not null")
+
+
 def index_files(
     store: RecordStore, files: DataFrame, *, embed: Embedder | None = None, force: bool = False,
     batch: int | None = None, artifact_root: str | None = None, chunks: Callable[[Column], Column] | None = None, **branches,
@@ -176,23 +203,30 @@ def index_files(
     """Ingest files whose content no stored record has, and store their records as one batch.
     Returns the per-file counts. Known files drop out before any splitting, captioning or embedding.
 
+    Rows that cannot be taken leave the rest alone: pages, table rows and images without a path, of a file that ``files`` does not list,
+    images without bytes and table rows without a number are counted by file and reason in ``store.rejects()``. Given rows are the
+    stored ones, those of known files, and the rejected.
+
     With an ``artifact_root``, the tables' CSV lines and JSON records and the images' bytes are written below it, in a folder
     of this batch, where the records' csv_path, json_path and png_path say. ``pages`` may be a loader instead of a table: a function that
     gets the new files and returns their page rows.
     """
+    batch = store.next_batch() if batch is None else batch
     if artifact_root is not None:
-        batch = store.next_batch() if batch is None else batch
         branches["artifact_dir"] = f"{artifact_root}/batch={batch}"
-    before = store.current(batch) if batch is not None else store.current()
     # One file per content, so that the ids of this batch are unique.
     # Written once: it decides for every branch, and its size then tells Spark what may be broadcast.
-    narrow = with_paths(files).select(*[c for c in ("pdf_path", "doc_hash", "doc_tag") if c in files.columns])
-    fresh = materialize(keep_first(not_indexed(narrow, before, force), ["doc_hash"], ["pdf_path"]), "fresh")
+    narrow = materialize(with_paths(files).select(*[c for c in ("pdf_path", "doc_hash", "doc_tag") if c in files.columns]), "files")
+    fresh = materialize(
+        keep_first(not_indexed(narrow, store.known_hashes(narrow, batch), force), ["doc_hash"], ["pdf_path"]), "fresh")
     if callable(branches.get("pages")):
         branches["pages"] = branches["pages"](fresh)
-    wanted = {n: with_provenance(branches[n], fresh, strict=False) for n in ("pages", "images") if branches.get(n) is not None}
-    if branches.get("cells") is not None:  # cell rows are narrowed here and get their file's hash as records
-        wanted["cells"] = branches["cells"].join(fresh.select("pdf_path"), "pdf_path", "left_semi")
+    given = {n: branches[n] for n in KINDS if branches.get(n) is not None}
+    # Their path, and whether a needed value is there, is all that is read of the rows here.
+    store.reject(rejected(given, narrow), batch)
+    wanted = {n: with_provenance(rows.where(unusable(n).isNull()), fresh, strict=False) for n, rows in given.items() if n != "cells"}
+    if "cells" in given:  # cell rows are narrowed here and get their file's hash as records
+        wanted["cells"] = given["cells"].where(unusable("cells").isNull()).join(fresh.select("pdf_path"), "pdf_path", "left_semi")
     ingested = ingest(**{**branches, **wanted})
     if artifact_root is not None and ingested["tables"] is not None:
         cells = cap_pages(wanted["cells"], branches.get("num_pages"), F.col("page"))

@@ -17,17 +17,19 @@ def run_ingest(
 ) -> RecordStore:
     """Stream of (pdf_path, doc_hash, ...) into ``store``.
 
-    Inside a micro-batch the first file of each content counts; against the store an anti join on
-    ``doc_hash`` skips what earlier batches hold. ``to_records`` must give every record an id of its own. There is no streaming state to grow: the stored hashes
+    Inside a micro-batch the first file of each content counts; against the store an anti join with the stored hashes
+    of the batch's own prefixes skips what earlier batches hold. ``to_records`` must give every record an id of its own. There is no streaming state to grow: the stored hashes
     are the state. A batch that runs again sees the store as it was before it and replaces its own folder.
     """
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        fresh = not_indexed(keep_first(batch, ["doc_hash"], [order]), store.current(before=batch_id)).persist()
+        first = keep_first(batch, ["doc_hash"], [order]).persist()
+        fresh = not_indexed(first, store.known_hashes(first, before=batch_id)).persist()
         try:
             store.append(to_records(fresh), batch_id, unique=True)
         finally:
             fresh.unpersist()
+            first.unpersist()
 
     query = (
         files.writeStream.foreachBatch(absorb).trigger(availableNow=True)

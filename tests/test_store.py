@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from pagelens.operators.identity import not_indexed
 from pagelens.model import IMAGES, PAGES, RECORDS, TABLE_CELLS
 from pagelens.plans.ingest import all_records, index_files, ingest, table_rows as stored_rows
 from pagelens.sources.store import RecordStore
@@ -56,6 +57,46 @@ def test_scans_are_pruned(spark, store, plan_of):
     assert "embedding" not in probe and "EqualTo(doc_hash,h)" in probe
 
 
+def test_probe_reads_only_the_asked_prefixes(spark, store, plan_of):
+    rows = [("pdf_text", f"i{i}", "x", f"{i:02x}" + "0" * 62) for i in range(256)] + [("pdf_text", "n", "x", None), ("pdf_text", "e", "x", "")]
+    store.append(records(spark, rows))
+    store.append(records(spark, [("pdf_text", "late", "x", "07" + "1" * 62)]))
+    asked = spark.createDataFrame([("07" + "0" * 62,), ("07" + "1" * 62,), ("07" + "2" * 62,), ("a1" + "3" * 62,)], "doc_hash string")
+    found = store.known_hashes(asked)
+    plan = plan_of(found)
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "prefix" in scan.split("PartitionFilters")[1].split("PushedFilters")[0] and "embedding" not in plan
+    assert found.count() == 3  # of 257 hashes those of two folders
+    assert {r.doc_hash[:3] for r in not_indexed(asked, found).collect()} == {"072", "a13"}
+    assert not_indexed(asked, store.known_hashes(asked, before=1)).count() == 3
+    assert store.known_hashes(asked.limit(0)).count() == 0
+
+
+def test_unfinished_batch_is_not_read(spark, store):
+    store.append(records(spark, [("pdf_text", "a", "one", "h1")]))
+    # A writer that died before its last write.
+    records(spark, [("pdf_text", "a", "two", "h2")]).write.partitionBy("collection").parquet(f"{store.root}/records/batch=1")
+    assert content(store.current()) == {"a": "one"} and store.batches() == [0]
+    assert store.append(records(spark, [("pdf_text", "a", "three", "h3")])) == 1
+    assert content(store.current()) == {"a": "three"}
+
+
+def test_rows_that_cannot_be_taken_are_counted(spark, store):
+    """Unlisted files, rows without a path, images without bytes, table rows without a number: the rest is stored."""
+    pages, cells, pictures, files = sample(spark)
+    more_pages = pages.unionByName(spark.createDataFrame([(None, 0, "1", "lost"), ("", 1, "1", "lost"), ("in/b.txt", 0, "1", "x"), ("in/b.txt", 1, "1", "x")], PAGES))
+    more_cells = cells.unionByName(spark.createDataFrame([("in/a.pdf", 1, 0, None, ["?"], None), ("in/z.pdf", 1, 0, 0, ["h"], None)], TABLE_CELLS))
+    more_pictures = pictures.unionByName(spark.createDataFrame([("fig", "in/a.pdf", 1, None, "f.png", None, None, None)], IMAGES))
+    index_files(store, files, pages=more_pages, cells=more_cells, images=more_pictures, enable_text=True)
+    got = {(r.kind, r.pdf_path, r.reason): r.n_rows for r in store.rejects().collect()}
+    assert got == {
+        ("pages", None, "no path"): 1, ("pages", "", "no path"): 1, ("pages", "in/b.txt", "file not listed"): 2,
+        ("cells", "in/a.pdf", "no row number"): 1, ("cells", "in/z.pdf", "file not listed"): 1, ("images", "in/a.pdf", "no content"): 1}
+    bare = RecordStore(spark, store.root + "-bare")
+    index_files(bare, files, pages=pages, cells=cells, images=pictures, enable_text=True)
+    assert content(store.current()) == content(bare.current()) and bare.rejects().count() == 0
+
+
 def sample(spark):
     pages = spark.createDataFrame(
         [("in/a.pdf", 0, "i", "Alpha text. " * 200), ("in/a.pdf", 1, "ii", None), ("in/a.pdf", 2, "iii", "  "),
