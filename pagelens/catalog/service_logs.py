@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagelens.catalog import roles as R
 from pagelens.catalog.registry import query
 from pagelens.functions import logs as L
+from pagelens.operators.sketches import RANK_ERROR, SketchStore
 from pagelens.plans import log_analysis as A
 from pagelens.session import scratch_path
 from pagelens.sources.logs import latest_log, read_logs, stream_logs
@@ -75,6 +76,35 @@ def log_timings(spark, sf_dir):
         "metric", "n", *_rounded("avg_value", "median_value"), "min_value", "max_value", "n_flagged")
 
 
+# Daily sketches stored once and merged over all days: counts and extremes exact, the rank of median and 95th percentile within the
+# stated error, measured against all values.
+@query("log_sketches", W + """ SELECT operation AS metric, count(*) AS n, round(avg(seconds), 6) AS avg_value, min(seconds) AS min_value,
+  max(seconds) AS max_value, true AS median_ok, true AS p95_ok FROM facts_s WHERE seconds IS NOT NULL AND operation IS NOT NULL GROUP BY 1""")
+def log_sketches(spark, sf_dir):
+    values = A.measurements(_facts(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day").where(~F.col("metric").isin(*A.SCORES))
+    store = SketchStore(spark, scratch_path(spark, "sketches"))
+    store.add(values)
+    made = store.over()
+    joined = values.select("metric", "value").join(F.broadcast(made.select("metric", "median_value", "p95_value")), "metric")  # one row per metric
+
+    def close(estimate: str, share: float):
+        """The ranks that the estimate takes up among all values reach into the allowed band."""
+        below, upto = F.count_if(F.col("value") < F.col(estimate)), F.count_if(F.col("value") <= F.col(estimate))
+        return (below <= (share + RANK_ERROR) * F.count(F.lit(1))) & (upto >= (share - RANK_ERROR) * F.count(F.lit(1)))
+
+    ranks = joined.groupBy("metric").agg(close("median_value", 0.5).alias("median_ok"), close("p95_value", 0.95).alias("p95_ok"))
+    return made.join(ranks, "metric").select("metric", "n", *_rounded("avg_value"), "min_value", "max_value", "median_ok", "p95_ok")
+
+
+# A report whose sections are partly empty: logs in which nothing was evaluated.
+@query("log_empty_sections", W + f""", names AS (SELECT unnest(['api', 'retrieval', 'evaluation']) AS metric)
+SELECT metric, count(v) AS n, {STATS}, count(*) FILTER (v > CASE metric WHEN 'api' THEN 5.0 WHEN 'retrieval' THEN 2.0 ELSE 20.0 END) AS n_flagged
+FROM names LEFT JOIN (SELECT operation AS metric, seconds AS v FROM facts_s WHERE seconds IS NOT NULL AND operation = 'api') USING (metric) GROUP BY 1""")
+def log_empty_sections(spark, sf_dir):
+    return A.timing_stats(_facts(spark, sf_dir).where("operation = 'api'")).select(
+        "metric", "n", *_rounded("avg_value", "median_value"), "min_value", "max_value", "n_flagged")
+
+
 @query("log_scores", W + f""", tall AS (SELECT 'faithfulness' AS metric, faithfulness AS v FROM facts WHERE faithfulness IS NOT NULL
   UNION ALL SELECT 'relevancy', relevancy FROM facts WHERE relevancy IS NOT NULL)
 SELECT metric, count(*) AS n, {STATS}, count(*) FILTER (v < 0.7) AS n_flagged,

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from pagelens.catalog import roles as R
 from pagelens.catalog.registry import query, table
+from pagelens.functions import logs as L
 from pagelens.operators.embedding import hashed_words
+from pagelens.operators.heavy import most_frequent, summaries
 from pagelens.plans.ingest import text_records
 from pagelens.session import scratch_path
 from pagelens.sources.tail import tail_logs, write_logs
@@ -51,6 +53,36 @@ def stream_hourly(spark, sf_dir):
         F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "n_lines", "n_errors")
 
 
+# Hourly counts with bounded state. The second file brings the last day and every twentieth line of the days before: those are
+# behind the watermark by then, are not counted, and are reported apart.
+@query("stream_hourly_late", W + """, told AS (SELECT ts, is_error, date_trunc('hour', ts) AS w,
+  CASE WHEN line_no % 20 = 0 OR date_trunc('day', ts) = (SELECT max(date_trunc('day', ts)) FROM facts) THEN 2 ELSE 1 END AS part FROM facts WHERE ts IS NOT NULL),
+marks AS (SELECT max(ts) FILTER (part = 1) - INTERVAL 10 MINUTE AS first, max(ts) - INTERVAL 10 MINUTE AS last FROM told),
+judged AS (SELECT *, part = 2 AND w + INTERVAL 1 HOUR <= first AS late FROM told, marks)
+SELECT strftime(w, '%Y-%m-%d %H') AS hour, count(*) FILTER (NOT late) AS n_lines, count(*) FILTER (is_error AND NOT late) AS n_errors,
+  count(*) FILTER (late) AS n_late FROM judged WHERE w + INTERVAL 1 HOUR <= last GROUP BY 1""")
+def stream_hourly_late(spark, sf_dir):
+    lines = R.log_lines(spark, sf_dir).withColumn("day", F.substring("value", 1, 10))
+    last = lines.agg(F.max("day")).first()[0]
+    second = (F.col("line_no") % 20 == 0) | (F.col("day") == last)
+    folder, out, progress = (scratch_path(spark, name) for name in ("late-lines", "windows", "progress"))
+    for part in (~second, second):
+        lines.where(part).select("value").write.mode("append").parquet(folder)
+        closed = M.run_closed_windows(spark.readStream.schema("value string").parquet(folder), out=out, progress=progress)
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "n_lines", "n_errors", "n_late")
+
+
+# The heaviest error messages of a stream: each micro-batch leaves summaries of its tasks, and what can be among the first is
+# counted exactly in the end.
+@query("stream_heavy_errors", W + " SELECT message, count(*) AS n FROM facts WHERE is_error GROUP BY 1 ORDER BY n DESC, message LIMIT 10")
+def stream_heavy_errors(spark, sf_dir):
+    def messages(lines):
+        return lines.where(L.is_error(F.col("value"))).select(L.error_text(F.col("value")).alias("message"))
+
+    stored = M.run_append(summaries(messages(_lines(spark, sf_dir)), "message"))
+    return most_frequent(messages(R.log_lines(spark, sf_dir)), "message", 10, summed=stored).withColumnRenamed("value", "message")
+
+
 @query("stream_ingest", """SELECT sha256(text) AS doc_hash, concat(lpad(CAST(min(doc_id) AS VARCHAR), 12, '0'), '.pdf') AS pdf_path FROM documents GROUP BY 1""")
 def stream_ingest(spark, sf_dir):
     files = _stream(spark, sf_dir, "documents").select(

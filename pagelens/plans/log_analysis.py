@@ -46,15 +46,15 @@ def top_modules(facts: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-def measurements(facts: DataFrame) -> DataFrame:
-    """Long (metric, value): seconds per operation and both scores, in one pass over the lines."""
+def measurements(facts: DataFrame, *keep: str) -> DataFrame:
+    """Long (metric, value) and ``keep``: seconds per operation and both scores, in one pass over the lines."""
     pairs = F.array(
         F.struct(F.col("operation").alias("metric"), F.col("seconds").alias("value")),
         *[F.struct(F.lit(s).alias("metric"), F.col(s).alias("value")) for s in SCORES],
     )
     return (
-        facts.select(F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p"))
-        .select("p.metric", "p.value").where(F.col("metric").isNotNull())
+        facts.select(*keep, F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p"))
+        .select(*keep, "p.metric", "p.value").where(F.col("metric").isNotNull())
     )
 
 

@@ -49,6 +49,38 @@ def windowed_counts(lines: DataFrame, width: str = "1 hour", watermark: str | No
     ).select(F.col("w.start").alias("window_start"), "n_lines", "n_errors")
 
 
+def run_closed_windows(
+    lines: DataFrame, width: str = "1 hour", watermark: str = "10 minutes", out: str | None = None, progress: str | None = None,
+) -> DataFrame:
+    """Process all input that is there with bounded state: (window_start, n_lines, n_errors, n_late) of every closed window.
+
+    A window is closed once the watermark has passed its end; its state is dropped then, its counts are final and written once. Lines that
+    come for it later are not in ``n_lines`` but in ``n_late``: a second query without state counts all lines of each
+    micro-batch by window, and late is what the first one has not counted. Both go on from their checkpoints below ``progress``.
+    """
+    spark = lines.sparkSession
+    out = out or scratch_path(spark, "windows")
+    progress = progress or scratch_path(spark, "progress")
+    closed = run_append(windowed_counts(lines, width, watermark), f"{out}/closed", f"{progress}/closed")
+    seen = F.window("ts", width).alias("w")
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        timed = batch.select(L.time_of(F.col("value"))).where(F.col("ts").isNotNull())
+        timed.groupBy(seen).agg(F.count(F.lit(1)).alias("n_seen"), F.max("ts").alias("newest")).select(
+            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_seen", "newest",
+        ).write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
+
+    query = lines.writeStream.foreachBatch(count).trigger(availableNow=True).option("checkpointLocation", f"{progress}/seen").start()
+    query.awaitTermination()
+    every = spark.read.schema("window_start timestamp, window_end timestamp, n_seen bigint, newest timestamp, batch bigint").parquet(f"{out}/seen")
+    passed = every.agg((F.max("newest") - F.expr(f"interval {watermark}")).alias("passed"))  # one row
+    totals = every.groupBy("window_start", "window_end").agg(F.sum("n_seen").alias("n_seen")).join(
+        F.broadcast(passed), F.col("window_end") <= F.col("passed"))
+    return totals.join(closed, "window_start", "left").select(
+        "window_start", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"),
+        (F.col("n_seen") - F.coalesce("n_lines", F.lit(0))).alias("n_late"))
+
+
 def run_append(alerts: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process all input that is there, append alerts to parquet, and read them back."""
     spark = alerts.sparkSession
