@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 CHUNK_SIZE = 1200
@@ -13,6 +16,8 @@ CHUNK_OVERLAP = 150
 # Separators from coarse to fine; the empty one splits between any two characters.
 SEPARATORS = ("\n\n", "\n", " ", "")
 
+# Chunks that leave a worker at a time.
+ROWS_OUT = 512
 SPANS = "array<struct<start: int, end: int, chunk: string>>"
 
 
@@ -27,17 +32,27 @@ def _pieces(text: str, lo: int, hi: int, separator: str) -> Iterator[tuple[int,
         yield begin, hi
 
 
-def _pack(run: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Join neighbouring pieces greedily; a chunk opens with the last pieces of the one before it."""
-    first = 0
-    for i, (_, end) in enumerate(run):
-        if first < i and end - run[first][0] > size:
-            done = run[i - 1][1]
-            yield run[first][0], done
-            while first < i and (done - run[first][0] > overlap or end - run[first][0] > size):
-                first += 1
-    if run:
-        yield run[first][0], run[-1][1]
+class _Packer:
+    """Joins neighbouring pieces greedily; a chunk opens with the last pieces of the one before it. Holds no more pieces than a
+    chunk has."""
+
+    def __init__(self, size: int, overlap: int):
+        self.size, self.overlap = size, overlap
+        self.held: deque[tuple[int, int]] = deque()
+
+    def add(self, begin: int, end: int) -> Iterator[tuple[int, int]]:
+        held = self.held
+        if held and end - held[0][0] > self.size:
+            done = held[-1][1]
+            yield held[0][0], done
+            while held and (done - held[0][0] > self.overlap or end - held[0][0] > self.size):
+                held.popleft()
+        held.append((begin, end))
+
+    def finish(self) -> Iterator[tuple[int, int]]:
+        if self.held:
+            yield self.held[0][0], self.held[-1][1]
+            self.held.clear()
 
 
 def _windows(lo: int, hi: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -53,34 +68,74 @@ def _spans(text: str, lo: int, hi: int, level: int, size: int, overlap: int) ->
     if not SEPARATORS[level]:
         yield from _windows(lo, hi, size, overlap)
         return
-    run: list[tuple[int, int]] = []
+    packer = _Packer(size, overlap)
     for begin, end in _pieces(text, lo, hi, SEPARATORS[level]):
         if end - begin < size:
-            run.append((begin, end))
+            yield from packer.add(begin, end)
             continue
-        yield from _pack(run, size, overlap)
-        run = []
+        yield from packer.finish()
         yield from _spans(text, begin, end, level + 1, size, overlap)
-    yield from _pack(run, size, overlap)
+    yield from packer.finish()
 
 
-def split_page(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[dict]:
-    """Chunks of one page with their character offsets; stripped, empty ones left out."""
-    chunks = []
+def page_chunks(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, int, str]]:
+    """(start, end, chunk) of one page, one after another; stripped, empty ones left out."""
     for begin, end in _spans(text, 0, len(text), 0, size, overlap) if text else ():
         whole = text[begin:end]
         chunk = whole.strip()
         if chunk:
             start = begin + len(whole) - len(whole.lstrip())
-            chunks.append({"start": start, "end": start + len(chunk), "chunk": chunk})
-    return chunks
+            yield start, start + len(chunk), chunk
 
 
-def recursive_chunks(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
-    """Column function text -> array of chunks: one Arrow batch in, one out, no shuffle."""
+def split_page(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[dict]:
+    """Chunks of one page with their character offsets."""
+    return [{"start": a, "end": b, "chunk": c} for a, b, c in page_chunks(text, size, overlap)]
+
+
+def _checked(size: int, overlap: int) -> None:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the chunk size")
 
+
+def chunk_table(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
+    """The recursive splitter as a table function for SQL: ``spark.udtf.register(name, chunk_table())``, then
+    ``FROM pages, LATERAL name(text)`` gives (chunk_no, start, end, chunk). Null and blank texts give no rows. (Spark takes no
+    Arrow table functions in lateral joins, so rows are made one by one; ``chunk_rows`` moves them in batches.)"""
+    _checked(size, overlap)
+
+    class Chunks:
+        def eval(self, text: str | None) -> Iterator[tuple[int, int, int, str]]:
+            for n, (start, end, chunk) in enumerate(page_chunks(text, size, overlap)):
+                yield n, start, end, chunk
+
+    return F.udtf(Chunks, returnType="chunk_no int, start int, end int, chunk string", useArrow=False)
+
+
+def chunk_rows(pages: DataFrame, *keep: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text: str = "text") -> DataFrame:
+    """One row per chunk: the ``keep`` columns of its page, chunk_no, start, end and chunk. Rows leave the worker ROWS_OUT at a time while
+    the page is still being cut, so a page's chunks are never one value. Null and blank texts give no rows."""
+    _checked(size, overlap)
+    fields = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = ((row, n, *c) for row, t in enumerate(batch.column(len(keep)).to_pylist()) for n, c in enumerate(page_chunks(t, size, overlap)))
+            while some := list(islice(numbered, ROWS_OUT)):
+                row, n, start, end, chunk = zip(*some, strict=True)
+                rows = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(rows) for c in batch.columns[:len(keep)]), pa.array(n, pa.int32()), pa.array(start, pa.int32()),
+                     pa.array(end, pa.int32()), pa.array(chunk, pa.string())], [*keep, "chunk_no", "start", "end", "chunk"])
+
+    return pages.select(*(f"`{c}`" for c in keep), F.col(text)).mapInArrow(
+        run, ", ".join([*fields, "chunk_no int", "start int", "end int", "chunk string"]))
+
+
+def recursive_chunks(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
+    """Column function text -> array of chunks: one Arrow batch in, one out, no shuffle."""
+    _checked(size, overlap)
+
     @F.pandas_udf(SPANS)
     def split(texts: pd.Series) -> pd.Series:
         return pd.Series([split_page(t, size, overlap) for t in texts])

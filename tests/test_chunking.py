@@ -6,7 +6,9 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF
-from pagelens.operators.chunking import explode_chunks, recursive_chunks, split_page, window_chunks
+from pagelens.operators.chunking import (
+    chunk_rows, chunk_table, explode_chunks, page_chunks, recursive_chunks, split_page, window_chunks,
+)
 
 
 def naive(text, size, overlap, separators=("\n\n", "\n", " ", "")):
@@ -100,3 +102,36 @@ def test_window_chunks(spark):
         (key, at, start, min(start + 4, len(text)), text[start:start + 4])
         for key, text in rows for at, start in enumerate(range(0, len(text or ""), 3))]
     assert [(r.id, r.chunk_no, r.start, r.end, r.text) for r in got] == want
+
+
+def test_rows_equal_arrays(spark):
+    texts = [None, "", "  \n ", "one", "para one\n\npara two " * 300, "x" * 5000, "a b " * 60_000, "é😀 " * 2000]
+    pages = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "page int, text string, chunk string").repartition(3)
+    rows = chunk_rows(pages.withColumnRenamed("chunk", "other"), "page", "other", size=200, overlap=30)
+    got = {}
+    for r in rows.collect():
+        assert r.other == "c"
+        got.setdefault(r.page, []).append((r.chunk_no, r.start, r.end, r.chunk))
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == [(n, c["start"], c["end"], c["chunk"]) for n, c in enumerate(split_page(text, 200, 30))]
+    spark.udtf.register("cut_text", chunk_table(200, 30))
+    pages.createOrReplaceTempView("some_pages")
+    assert spark.sql("select page, c.chunk_no from some_pages, lateral cut_text(text) c").count() == rows.count()
+
+
+def test_a_large_page_is_cut_in_flat_memory():
+    """100 MB with paragraphs shorter and longer than a chunk: beside the text itself, next to nothing is held."""
+    import tracemalloc
+
+    text = ("A short paragraph of words.\n\n" * 40 + "word " * 900 + "\n\n" + "z" * 3000 + "\n") * (100 * 2 ** 20 // 8700)
+    assert len(text) > 90 * 2 ** 20
+    tracemalloc.start()
+    n, covered = 0, 0
+    for start, end, chunk in page_chunks(text):
+        n += 1
+        covered = max(covered, end)
+        if n == 20_000:
+            break
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert covered > 10 ** 7 and held < 2 ** 20

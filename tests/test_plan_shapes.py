@@ -12,7 +12,7 @@ PYTHON = {
     "chunk_recursive", "chunk_recursive_spans", "embed_hash", "caption_images", "generate_vision", "generate_answers",
     "knn_per_collection", "retrieve_multi", "retrieve_two_each", "retrieve_cosine", "retrieve_ip", "knn_by_cells", "knn_probed",
     "ip_by_cells", "knn_stored_cells",
-    "chunk_contract", "generate_schema", "hit_records", "format_context", "build_prompt", "answer_questions", "search_text", "ask_documents", "context_list",
+    "chunk_contract", "chunk_rows", "generate_schema", "hit_records", "format_context", "build_prompt", "answer_questions", "search_text", "ask_documents", "context_list",
 }
 
 
