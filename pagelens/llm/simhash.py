@@ -4,7 +4,8 @@ A 64-bit fingerprint is mapped to the popcounts of its two-bit segments, a point
 The Manhattan distance of two points never exceeds the Hamming distance of the fingerprints, so a range join
 in the grid within the Hamming limit loses no link. The segments are dealt to ``limit + zeros`` blocks: of two
 points within the limit at least ``zeros`` blocks lie in the same grid cell, so each point is entered under every
-choice of ``zeros`` blocks, and only points that share such a cell meet. Meeting pairs are compared exactly.
+choice of ``zeros`` blocks, and only points that share such a cell meet. Of those that meet, the ones within the limit by the
+Manhattan distance of all segments are verified by the Hamming distance itself.
 """
 
 from __future__ import annotations
@@ -85,6 +86,22 @@ def grid_cells(points: DataFrame, limit: int = LIMIT, zeros: int = ZEROS) -> Dat
     return named.select(F.explode(F.array(*choices)).alias("cell"), "fp")
 
 
+def embedded(fps: np.ndarray) -> np.ndarray:
+    """The point of each fingerprint, its two-bit segments' popcounts in unary (0: 00, 1: 01, 2: 11), so that the bits in which two
+    points differ are their Manhattan distance."""
+    low = np.uint64(0x5555555555555555)
+    one, two = fps & low, (fps >> np.uint64(1)) & low
+    return (one | two) | (one & two) << np.uint64(1)
+
+
+def _near(points: np.ndarray, fps: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs (a, b) of rows are within the limit: by the lower bound first, then exactly."""
+    out = np.bitwise_count(points[a] ^ points[b]) <= limit
+    left = np.flatnonzero(out)
+    out[left] = np.bitwise_count(fps[a[left]] ^ fps[b[left]]) <= limit
+    return out
+
+
 def _forest(own: np.ndarray, other: np.ndarray | None, limit: int) -> list[tuple[int, int]]:
     """Links of a large cell block (or between two blocks) without those that close a circle."""
     every = own if other is None else np.concatenate([own, other])
@@ -98,10 +115,13 @@ def _forest(own: np.ndarray, other: np.ndarray | None, limit: int) -> list[tuple
 
     out = []
     shift, right = (0, own) if other is None else (len(own), other)
+    points, right_points = embedded(every), embedded(right)
     step = max(1, (1 << 20) // max(1, len(right)))
     for i in range(0, len(own), step):
-        near = np.bitwise_count(own[i:i + step, None] ^ right[None, :]) <= limit
-        for a, b in zip(*np.nonzero(near), strict=True):
+        maybe = np.bitwise_count(points[i:min(i + step, len(own)), None] ^ right_points[None, :]) <= limit
+        rows, columns = np.nonzero(maybe)
+        exact = np.bitwise_count(own[rows + i] ^ right[columns]) <= limit
+        for a, b in zip(rows[exact], columns[exact], strict=True):
             a, b = int(a) + i, int(b) + shift
             if a < b and (x := root(a)) != (y := root(b)):
                 parent[y] = x
@@ -118,10 +138,12 @@ def _compare(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, limit: int) ->
     a, b = [], []
     small = np.flatnonzero(~large[group])
     g, f = group[small], fps[small]
+    points = embedded(f)
     for lag in range(1, int(sizes[~large].max(initial=1))):  # all small cells at once
-        near = (g[lag:] == g[:-lag]) & (np.bitwise_count(f[lag:] ^ f[:-lag]) <= limit)
-        a.append(f[:-lag][near])
-        b.append(f[lag:][near])
+        met = np.flatnonzero(g[lag:] == g[:-lag])
+        near = met[_near(points, f, met, met + lag, limit)]
+        a.append(f[near])
+        b.append(f[near + lag])
     for k in np.flatnonzero(large):
         rows = slice(starts[k], starts[k] + sizes[k])
         own, s = fps[rows], side[rows]

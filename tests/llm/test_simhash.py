@@ -114,3 +114,19 @@ def test_report_and_one_of_each(spark):
 def test_repeated_id_with_other_text_stays(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "one two three four five six"), (None, "x y z"), (None, "x y z")], "doc_id bigint, text string")
     assert one_of_each(docs).count() == 3
+
+
+def test_embedding_is_a_lower_bound():
+    """Differing bits of two points are the Manhattan distance of their segments' popcounts, never more than the Hamming distance."""
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 2 ** 64, 400, np.uint64)
+    fps[200:] = fps[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, np.uint64))
+    counts = np.stack([np.bitwise_count((fps >> np.uint64(s)) & np.uint64(3)) for s in range(0, 64, 2)], axis=1).astype(int)
+    points = simhash.embedded(fps)
+    a, b = np.triu_indices(400, 1)
+    manhattan = np.abs(counts[a] - counts[b]).sum(axis=1)
+    hamming = np.bitwise_count(fps[a] ^ fps[b])
+    assert (np.bitwise_count(points[a] ^ points[b]) == manhattan).all() and (manhattan <= hamming).all()
+    assert (simhash._near(points, fps, a, b, 4) == (hamming <= 4)).all()
+    # The bound leaves few pairs to the exact test.
+    assert (manhattan <= 4).sum() < 0.01 * len(a)
