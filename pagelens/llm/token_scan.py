@@ -51,7 +51,7 @@ def write_streams(docs: DataFrame, text: str = "text", vocabulary: str | None =
         for batch in batches:
             parts = [held]
             for value in batch.column(1).to_pylist():
-                parts.append(np.frombuffer(encode(value), "<u4").astype("<u2").tobytes() + end)
+                parts.append(_narrow(encode(value)) + end)
             held = b"".join(parts)
             whole = len(held) // size
             yield table([held[i * size:(i + 1) * size] for i in range(whole)], block, batch.column(0).cast(pa.int64()))
@@ -67,14 +67,54 @@ def write_streams(docs: DataFrame, text: str = "text", vocabulary: str | None =
     return blocks, manifest
 
 
-def read_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
-    """Flat files below ``path`` as blocks: one stream per file, named by its path. ``block_bytes`` must be a
-    multiple of the width of an id. A file is cut as it is read, so it must fit in a task; write large
-    corpora as many files."""
-    files = spark.read.format("binaryFile").load(path)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / block_bytes), F.lit(1)) - 1)
-    return files.where("length > 0").select(F.col("path").alias("stream"), "content", F.explode(starts).alias("block")).select(
-        "stream", "block", F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})").alias("tokens"))
+def read_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS, width: str = "<u2") -> DataFrame:
+    """Flat files below ``path`` as blocks: one stream per file, named by its path. ``width`` is the numpy type of an id; a file
+    that is no whole number of ids is an error.
+
+    Spark lists the files; their ranges of ``block_bytes`` are dealt over all tasks, and a task reads its own ranges and nothing else,
+    so one file of any size is read by many tasks.
+    """
+    unit = np.dtype(width).itemsize
+    if block_bytes % unit:
+        raise ValueError(f"a block must be a multiple of {unit} bytes")
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    whole = F.when(F.col("length") % unit == 0, F.col("length")).otherwise(
+        F.raise_error(F.concat(F.col("path"), F.lit(f" is no whole number of {unit}-byte ids"))).cast("bigint"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((whole - 1) / block_bytes)))
+    ranges = files.select("path", "length", blocks.alias("block")).repartition(
+        spark.sparkContext.defaultParallelism * 4, F.xxhash64("path", "block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, at = _system(name)
+                with system.open_input_file(at) as file:
+                    begin = block * block_bytes
+                    data = file.read_at(min(block_bytes, length - begin), begin)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name], pa.string()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["stream", "block", "tokens"])
+
+    return ranges.mapInArrow(run, "stream string, block bigint, tokens binary")
+
+
+def _system(name: str):
+    """File system and path of a listed file; Spark names local ones ``file:/...``."""
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs
+
+    parts = urlparse(name)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(parts.path)
+    return fs.FileSystem.from_uri(name)
+
+
+def _narrow(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones; a vocabulary with greater ids is an error."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > np.iinfo(np.uint16).max:
+        raise OverflowError("the vocabulary has ids beyond 16 bits")
+    return wide.astype("<u2").tobytes()
 
 
 def _summaries(end: int, width: str):

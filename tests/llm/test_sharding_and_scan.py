@@ -94,7 +94,7 @@ def test_flat_files(spark, tmp_path):
         (tmp_path / f"{k}.bin").write_bytes(ids.tobytes())
         want[k] = brute(ids.tolist())
     (tmp_path / "empty.bin").write_bytes(b"")
-    got = document_lengths(read_files(spark, str(tmp_path), 4 * 77), END, "<u4").collect()
+    got = document_lengths(read_files(spark, str(tmp_path), 4 * 77, "<u4"), END, "<u4").collect()
     for k, docs in want.items():
         mine = sorted((r.nth, r.n_tokens, r.ended) for r in got if r.stream.endswith(f"/{k}.bin"))
         assert mine == [(i, n, e) for i, (n, e) in enumerate(docs)]
@@ -114,3 +114,36 @@ def test_round_trip(spark, monkeypatch):
         text = "a b c" if r.doc_id is None else texts[r.doc_id]
         assert r.n_tokens == len(t.encode(text or "", add_special_tokens=False).ids)
     assert token_counts(docs.limit(0)).count() == 0
+
+
+def test_one_file_in_many_ranges(spark, tmp_path):
+    """A file cut into ranges of any length, over many tasks, gives what a plain count gives."""
+    rng = np.random.default_rng(12)
+    ids = rng.integers(0, 300, 30_000).astype("<u2")
+    ids[rng.random(30_000) < 0.01] = 65_535
+    ids[5000:9000] = 7  # a document over many ranges
+    (tmp_path / "with space").mkdir()
+    (tmp_path / "with space" / "flat.bin").write_bytes(ids.tobytes())
+    ends = np.flatnonzero(ids == 65_535)
+    want = np.diff(np.concatenate([[-1], ends])).astype(int) - 1
+    for size in (2, 50, 1 << 10, 1 << 20):
+        if size == 2:  # one id a block, on the head of the file
+            (tmp_path / "head").mkdir()
+            (tmp_path / "head" / "flat.bin").write_bytes(ids[:400].tobytes())
+        folder = tmp_path / ("head" if size == 2 else "with space")
+        blocks = read_files(spark, str(folder), size)
+        got = {r.nth: r.n_tokens for r in document_lengths(blocks, 65_535).where("ended").collect()}
+        assert [got[i] for i in range(len(got))] == want[:len(got)].tolist() and len(got) == (len(want) if size > 2 else (ends < 400).sum())
+    assert read_files(spark, str(tmp_path / "with space"), 50).rdd.getNumPartitions() > 1
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "flat.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="whole number of 2-byte ids"):
+        read_files(spark, str(tmp_path / "odd")).collect()
+    with pytest.raises(ValueError, match="multiple"):
+        read_files(spark, str(tmp_path / "odd"), 3)
+
+
+def test_ids_must_fit():
+    assert token_scan._narrow(np.array([1, 65_535], "<u4").tobytes()) == np.array([1, 65_535], "<u2").tobytes()
+    with pytest.raises(OverflowError):
+        token_scan._narrow(np.array([65_536], "<u4").tobytes())
