@@ -198,10 +198,12 @@ def rejected(given: dict[str, DataFrame], files: DataFrame) -> DataFrame:
 
 def index_files(
     store: RecordStore, files: DataFrame, *, embed: Embedder | None = None, force: bool = False,
-    batch: int | None = None, artifact_root: str | None = None, chunks: Callable[[Column], Column] | None = None, **branches,
+    batch: int | None = None, artifact_root: str | None = None, chunks: Callable[[Column], Column] | None = None,
+    replace: bool = False, **branches,
 ) -> DataFrame:
     """Ingest files whose content no stored record has, and store their records as one batch.
-    Returns the per-file counts. Known files drop out before any splitting, captioning or embedding.
+    Returns the per-file counts. Known files drop out before any splitting, captioning or embedding. With ``replace``, a file that is
+    stored with other content under the same path gives up its earlier records.
 
     Rows that cannot be taken leave the rest alone: pages, table rows and images without a path, of a file that ``files`` does not list,
     images without bytes and table rows without a number are counted by file and reason in ``store.rejects()``. Given rows are the
@@ -237,5 +239,5 @@ def index_files(
         # The bytes come from the given images: no model runs for them.
         write_figures(with_figure_paths(cap_pages(wanted["images"], branches.get("num_pages"), F.col("page")), branches["artifact_dir"]),
                       branches["artifact_dir"])
-    store.append(all_records(ingested, fresh, embed, chunks), batch, unique=True)
+    store.append(all_records(ingested, fresh, embed, chunks), batch, unique=True, changed=fresh if replace else None)
     return ingested["stats"]

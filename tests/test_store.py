@@ -97,6 +97,20 @@ def test_rows_that_cannot_be_taken_are_counted(spark, store):
     assert content(store.current()) == content(bare.current()) and bare.rejects().count() == 0
 
 
+def test_changed_file_gives_up_its_records(spark, store):
+    files = "pdf_path string, doc_hash string"
+    page = [("in/a.pdf", 0, "1", "First version"), ("in/a.pdf", 1, "2", "Second page"), ("in/b.pdf", 0, "1", "Other file")]
+    index_files(store, spark.createDataFrame([("in/a.pdf", "a" * 64), ("in/b.pdf", "b" * 64)], files), pages=spark.createDataFrame(page, PAGES), enable_text=True)
+    changed = spark.createDataFrame([("in/a.pdf", "c" * 64), ("in/b.pdf", "b" * 64)], files)
+    new = spark.createDataFrame([("in/a.pdf", 0, "1", "Third version"), page[2]], PAGES)
+    both = RecordStore(spark, store.root)
+    index_files(both, changed, pages=new, enable_text=True, replace=True)
+    assert sorted(content(store.current()).values()) == ["Other file", "Third version"]
+    assert sorted(content(store.current(before=1)).values()) == ["First version", "Other file", "Second page"]
+    index_files(store, changed, pages=new, enable_text=True, replace=True)  # nothing new, nothing lost
+    assert sorted(content(store.current()).values()) == ["Other file", "Third version"]
+
+
 def sample(spark):
     pages = spark.createDataFrame(
         [("in/a.pdf", 0, "i", "Alpha text. " * 200), ("in/a.pdf", 1, "ii", None), ("in/a.pdf", 2, "iii", "  "),
