@@ -1,12 +1,11 @@
 """Secret scans over a trigram inverted index.
 
 Every rule's regular expression is turned into a Boolean query over trigrams that any match must contain
-(a conjunction of alternatives, each a set of trigrams). The dictionary of the index is the union of these
-trigrams. The index is document-partitioned, as search engines shard theirs: each row holds its slice of
-all posting lists as bits of one or more longs (bit i set: this row is in the list of trigram i), so posting
-lists are intersected by AND and united by OR where the text lies, and no text is ever shuffled. Only the
-rows that a query leaves are verified by the expression itself. A rule without mandatory trigrams scans
-every text.
+(a conjunction of clauses, each a choice of sets of trigrams). The index is a table of postings: one row for each
+trigram of any query and each distinct text that holds it. It is built once, in one pass over the texts, and written. A query
+intersects and unites the lists of its trigrams by joins and counts on these narrow rows: a set is met where all its
+trigrams are, a clause where one of its sets is, a rule where all its clauses are. Only the texts that are left are
+verified by the expression itself. A rule without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
@@ -15,9 +14,10 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagelens.llm.spans import count_of, digest, joined, no_spans, replaced, spans_of
+from pagelens.session import materialize
 
 _parse = re._parser.parse  # the standard library's own regex parser: no parser is written here
 
@@ -126,61 +126,76 @@ def trigram_query(pattern: str) -> Query:
     return found
 
 
+# Texts are known to the index by 128 bits of hash.
+_KEY = ("_h1", "_h2")
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"_h1": F.xxhash64(whole), "_h2": F.xxhash64(F.lit(1), whole)})
+
+
 class TrigramIndex:
-    """Posting bits for the trigrams of a rule set."""
+    """The postings of the trigrams that a rule set asks for. Rules are known by their place in the set."""
 
     def __init__(self, rules: Sequence[Rule]):
-        self.queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
-        used = {t for q in self.queries.values() for ors in q for grams in ors for t in grams}
-        self.bit = {t: i for i, t in enumerate(sorted(used))}
-
-    def postings(self, text: Column) -> Column:
-        """array<long>: bit ``i % 63`` of word ``i / 63`` tells whether the row is in the list of trigram i."""
+        self.queries = [trigram_query(rule.pattern) for rule in rules]
+        used = {t for q in self.queries for ors in q for grams in ors for t in grams}
+        self.number = {t: i for i, t in enumerate(sorted(used))}
+        #: Rules that no trigram can narrow down.
+        self.open = [i for i, q in enumerate(self.queries) if not q]
+
+    def present(self, text: Column) -> Column:
+        """The numbers of the index's trigrams that a text holds, case folded."""
         folded = F.lower(F.coalesce(text, F.lit("")))
-        words = []
-        for first in range(0, max(len(self.bit), 1), 63):
-            word = F.lit(0).cast("long")
-            for t, i in self.bit.items():
-                if first <= i < first + 63:
-                    word = word.bitwiseOR(F.when(F.contains(folded, F.lit(t)), F.lit(1 << (i - first))).otherwise(F.lit(0)))
-            words.append(word)
-        return F.array(*words)
-
-    def candidate(self, kind: str, postings: Column) -> Column:
-        """Whether the intersected posting lists leave this row for the rule."""
-        verdict = F.lit(True)
-        for ors in self.queries[kind]:
-            any_of = F.lit(False)
-            for grams in ors:
-                masks: dict[int, int] = {}
-                for t in grams:
-                    word, bit = divmod(self.bit[t], 63)
-                    masks[word] = masks.get(word, 0) | 1 << bit
-                hit = F.lit(True)
-                for word, mask in masks.items():
-                    hit = hit & (postings[word].bitwiseAND(F.lit(mask)) == F.lit(mask))
-                any_of = any_of | hit
-            verdict = verdict & any_of
-        return verdict
+        found = [F.when(F.contains(folded, F.lit(t)), F.lit(i)) for t, i in self.number.items()]
+        return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<int>")
+
+    def postings(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """(trigram, _h1, _h2): each text once in each of its lists, equal texts being one. Rows of a list lie together in their file."""
+        texts = _keyed(docs.select(text), text).select(*_KEY, self.present(F.col(text)).alias("grams")).dropDuplicates(list(_KEY))
+        return materialize(texts.select(F.explode("grams").alias("trigram"), *_KEY).sortWithinPartitions("trigram"), "postings")
+
+    def asked(self, spark: SparkSession) -> DataFrame:
+        """The queries as rows (rule, clause, choice, trigram, needed), needed the size of the set; as many as the rules' trigrams."""
+        rows = [(r, c, k, self.number[t], len(grams)) for r, q in enumerate(self.queries) for c, ors in enumerate(q)
+                for k, grams in enumerate(ors) for t in grams]
+        return spark.createDataFrame(rows, "rule int, clause int, choice int, trigram int, needed int")
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """(_h1, _h2, rules): what the intersected and united lists leave, for every text that any rule may match.
+
+        One shuffle brings a text's postings together; sets, clauses and rules are then counted where they lie. A text has no more
+        postings than the index has trigrams, so a list that a third of all texts are in is spread like any other.
+        """
+        spark = postings.sparkSession
+        clauses = spark.createDataFrame([(r, len(q)) for r, q in enumerate(self.queries)], "rule int, clauses int")
+        met = postings.repartition(*_KEY).join(F.broadcast(self.asked(spark)), "trigram").groupBy(*_KEY, "rule", "clause", "choice").agg(
+            F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where("n = needed")
+        rules = met.groupBy(*_KEY, "rule").agg(F.count_distinct("clause").alias("n")).join(F.broadcast(clauses), "rule").where("n = clauses")
+        return rules.groupBy(*_KEY).agg(F.collect_set("rule").alias("rules"))
 
 
 def scan(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add ``secret_spans``: array of (start, rank, end, kind, found), every rule's matches in the whole text.
 
     Positions are code points, ends exclusive. Null and empty texts have no spans; repeated rows, null ids and
-    further columns pass through (an input column of that name is replaced). One pass, no shuffle.
+    further columns pass through (an input column of that name is replaced). Texts meet their candidate rules by the hash of the
+    text; a text that very many rows have is a skewed key, which adaptive execution splits.
     """
     index = TrigramIndex(rules)
-    kept = [c for c in docs.columns if c not in ("secret_spans", "_postings")]
-    indexed = docs.select(*kept, index.postings(F.col(text)).alias("_postings"))
+    kept = [c for c in docs.columns if c not in ("secret_spans", "_rules", *_KEY)]
+    left = index.candidates(index.postings(docs, text)).withColumnRenamed("rules", "_rules")
+    judged = _keyed(docs.select(*(f"`{c}`" for c in kept)), text).join(left, list(_KEY), "left")
     parts = []
     for rank, rule in enumerate(rules):
         keep = None
         if rule.group2:
             keep = lambda m, r=rule: F.length(F.regexp_extract(m, r.pattern, 2)) >= r.group2
         found = spans_of(F.col(text), rule.kind, rank, rule.pattern, keep)
-        parts.append(F.when(index.candidate(rule.kind, F.col("_postings")), found).otherwise(no_spans()))
-    return indexed.select(*kept, F.array_sort(F.concat(*parts)).alias("secret_spans"))
+        may = F.lit(True) if rank in index.open else F.coalesce(F.array_contains("_rules", rank), F.lit(False))
+        parts.append(F.when(may, found).otherwise(no_spans()))
+    return judged.select(*(f"`{c}`" for c in kept), F.array_sort(F.concat(*parts)).alias("secret_spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
