@@ -73,9 +73,9 @@ def run_closed_windows(
     query = lines.writeStream.foreachBatch(count).trigger(availableNow=True).option("checkpointLocation", f"{progress}/seen").start()
     query.awaitTermination()
     every = spark.read.schema("window_start timestamp, window_end timestamp, n_seen bigint, newest timestamp, batch bigint").parquet(f"{out}/seen")
-    passed = every.agg((F.max("newest") - F.expr(f"interval {watermark}")).alias("passed"))  # one row
-    totals = every.groupBy("window_start", "window_end").agg(F.sum("n_seen").alias("n_seen")).join(
-        F.broadcast(passed), F.col("window_end") <= F.col("passed"))
+    newest = every.agg(F.unix_micros(F.max("newest"))).first()[0]  # one number; without lines there is none, and no window
+    passed = F.timestamp_micros(F.lit(newest).cast("bigint")) - F.expr(f"interval {watermark}")
+    totals = every.groupBy("window_start", "window_end").agg(F.sum("n_seen").alias("n_seen")).where(F.col("window_end") <= passed)
     return totals.join(closed, "window_start", "left").select(
         "window_start", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"),
         (F.col("n_seen") - F.coalesce("n_lines", F.lit(0))).alias("n_late"))
