@@ -145,15 +145,16 @@ class TrigramIndex:
         #: Rules that no trigram can narrow down.
         self.open = [i for i, q in enumerate(self.queries) if not q]
 
-    def present(self, text: Column) -> Column:
-        """The numbers of the index's trigrams that a text holds, case folded."""
-        folded = F.lower(F.coalesce(text, F.lit("")))
+    def present(self, folded: Column) -> Column:
+        """The numbers of the index's trigrams that a text in lower case holds."""
         found = [F.when(F.contains(folded, F.lit(t)), F.lit(i)) for t, i in self.number.items()]
         return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<int>")
 
     def postings(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """(trigram, _h1, _h2): each text once in each of its lists, equal texts being one. Rows of a list lie together in their file."""
-        texts = _keyed(docs.select(text), text).select(*_KEY, self.present(F.col(text)).alias("grams")).dropDuplicates(list(_KEY))
+        # Folded in a step of its own: every trigram looks at the same lower-case text.
+        folded = _keyed(docs.select(text), text).select(*_KEY, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("folded"))
+        texts = folded.select(*_KEY, self.present(F.col("folded")).alias("grams")).dropDuplicates(list(_KEY))
         return materialize(texts.select(F.explode("grams").alias("trigram"), *_KEY).sortWithinPartitions("trigram"), "postings")
 
     def asked(self, spark: SparkSession) -> DataFrame:
