@@ -113,7 +113,7 @@ def test_replacing_many_spans(spark):
     begin = time.time()
     got = redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["text"]
     assert got == " é ".join(["[ACCESS]"] * 100_000)
-    assert time.time() - begin < 60
+    assert time.time() - begin < 300  # a quadratic way needs many times that
     rng = random.Random(4)
     rows = []
     for i in range(40):
