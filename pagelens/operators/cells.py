@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pagelens.model import layout
 from pagelens.operators.topk import NearestSoFar, unit
@@ -30,7 +30,11 @@ from pagelens.session import materialize
 
 MIN_PIVOTS = 128
 MAX_PIVOTS = 8192  # distances of an Arrow batch to all pivots stay below 300 MB
-GROUP_BYTES = 32 << 20  # vectors of one cell slice or one question block in a task
+GROUP_BYTES = 32 << 20  # vectors that a task compares at once
+TASK_BYTES = 32 << 20  # vectors of one slice of records or one block of questions in a task
+TASKS_PER_CORE = 8
+MIN_TILE = 512  # fewer vectors at once cost more time than they save memory
+ROUTED = 2048  # questions whose distances to all pivots are held at once
 SAMPLE = 256  # questions that are asked exactly to find the number of probes
 
 
@@ -99,12 +103,18 @@ class Space:
         of the k nearest."""
         to_pivot = gaps[:, cells["cell"].to_numpy()]
         if probes is not None:
-            return _places(to_pivot) < probes
+            return _nearest_places(to_pivot, probes)
         radius, n = cells["radius"].to_numpy()[None, :], cells["n"].to_numpy()
         farthest = to_pivot + radius
-        order = farthest.argsort(axis=1)
+        if farthest.shape[1] > k and n.min() < k:  # no cell is empty: k of them hold k records
+            order = np.argpartition(farthest, k - 1, axis=1)[:, :k]
+            order = np.take_along_axis(order, np.take_along_axis(farthest, order, axis=1).argsort(axis=1), axis=1)
+        elif n.min() < k:
+            order = farthest.argsort(axis=1)
+        else:
+            order = farthest.argmin(axis=1)[:, None]
         filled = np.cumsum(n[order], axis=1) >= k
-        at = np.where(filled.any(axis=1), filled.argmax(axis=1), farthest.shape[1] - 1)
+        at = np.where(filled.any(axis=1), filled.argmax(axis=1), order.shape[1] - 1)
         rows = np.arange(len(farthest))
         bound = farthest[rows, order[rows, at]]
         # Rounding: a distance is the root of a difference of squares, of the size of the longest vector for ``ip``.
@@ -117,6 +127,15 @@ def _places(to_pivot: np.ndarray) -> np.ndarray:
     return to_pivot.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
 
 
+def _nearest_places(to_pivot: np.ndarray, n: int) -> np.ndarray:
+    """Mask of the first ``n`` places of each question."""
+    if n >= to_pivot.shape[1]:
+        return np.ones(to_pivot.shape, dtype=bool)
+    last = np.partition(to_pivot, n - 1, axis=1)[:, n - 1:n]
+    nearer, tied = to_pivot < last, to_pivot == last
+    return nearer | tied & (tied.cumsum(axis=1) <= n - nearer.sum(axis=1, keepdims=True))
+
+
 def pick_space(corpus: DataFrame, metric: str, dimensions: int, pivots: int | None) -> Space | None:
     """Pivots by a repeatable choice, about the square root of the corpus, so that cells and their number grow alike. Exact
     results do not hang on the choice, only the cost does. None if no record has a usable vector."""
@@ -209,18 +228,15 @@ class Cells:
         schema = layout(qid=questions.schema["qid"].dataType, qvec=T.ArrayType(T.DoubleType()), collection=T.StringType(),
                         cell=T.IntegerType())
         arrow = arrow_schema(schema)
-        held = {c: (g["cell"].to_numpy(), g["n"].to_numpy(), g["radius"].to_numpy()) for c, g in self.stats.groupby("collection")}
-        shared = questions.sparkSession.sparkContext.broadcast((_plain(self.space), held))
+        shared = questions.sparkSession.sparkContext.broadcast((_plain(self.space), self._held()))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             space, held = Space(*shared.value[0]), shared.value[1]
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                gaps = space.gaps(matrix(batch.column("qvec"), space.dimensions), False)
-                for collection, (number, n, radius) in held.items():
-                    cells = pd.DataFrame({"cell": number, "n": n, "radius": radius})
-                    row, col = np.nonzero(space.visited(gaps, cells, k, probes) & np.isfinite(gaps).all(axis=1)[:, None])
+                for collection, number, mask in _masks(space, held, matrix(batch.column("qvec"), space.dimensions), k, probes):
+                    row, col = np.nonzero(mask)
                     for a in range(0, len(row), 4096):
                         some = row[a:a + 4096]
                         picked = batch.take(pa.array(some))
@@ -231,49 +247,126 @@ class Cells:
 
         return questions.select("qid", "qvec").mapInArrow(route, schema)
 
+    def _held(self) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return {c: (g["cell"].to_numpy(), g["n"].to_numpy(), g["radius"].to_numpy()) for c, g in self.stats.groupby("collection")}
+
+    def _block_visits(self, blocks: DataFrame, k: int, probes: int | None) -> DataFrame:
+        """(block, collection, cell): the cells that any question of a block visits, from (block, qvec). However many questions,
+        a task gives a row for each of its blocks and cells at most."""
+        schema = layout(block=T.IntegerType(), collection=T.StringType(), cell=T.IntegerType())
+        arrow = arrow_schema(schema)
+        shared = blocks.sparkSession.sparkContext.broadcast((_plain(self.space), self._held()))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            space, held = Space(*shared.value[0]), shared.value[1]
+            visited: dict[tuple[int, str], np.ndarray] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                block = batch.column("block").to_numpy()
+                for collection, _, mask in _masks(space, held, matrix(batch.column("qvec"), space.dimensions), k, probes):
+                    for b in np.unique(block):
+                        any_of = mask[block == b].any(axis=0)
+                        visited[b, collection] = visited.get((b, collection), False) | any_of
+            for (b, collection), any_of in visited.items():
+                number = held[collection][0][any_of].astype("int32")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(number), b, dtype="int32")), pa.array([collection] * len(number), pa.string()), pa.array(number)],
+                    schema=arrow)
+
+        return blocks.select("block", "qvec").mapInArrow(route, schema).distinct()
+
+    def _grid(self, n_questions: int, cores: int) -> tuple[int, int]:
+        """Numbers of question blocks and of records in a slice: blocks x slices is some tasks for each core, the least is sent
+        for them, and neither side of a task is larger than TASK_BYTES."""
+        most = max(1, TASK_BYTES // (8 * self.space.dimensions))
+        n_records = max(1, int(self.stats["n"].sum()))
+        blocks = max(1, math.ceil(n_questions / most), round(math.sqrt(TASKS_PER_CORE * cores * n_questions / n_records)))
+        slices = max(math.ceil(n_records / most), math.ceil(TASKS_PER_CORE * cores / blocks))
+        return min(blocks, max(1, n_questions)), math.ceil(n_records / slices)
+
     def search(
         self, questions: DataFrame, k: int, probes: int | None = None, group_bytes: int = GROUP_BYTES,
     ) -> DataFrame:
-        """(qid, collection, id, score): at least the k nearest of each question and collection, unranked."""
+        """(qid, collection, id, score): at least the k nearest of each question and collection, unranked.
+
+        Questions are dealt into blocks, records by their cell into slices, and a task compares a block with a slice: each
+        question with the cells it visits. A record goes out once for each block that visits its cell, and a question
+        once for each slice with such a cell, so what is sent does not grow with the visits of single questions.
+        """
         space, spark = self.space, self.placed.sparkSession
-        group_rows = max(1, group_bytes // (8 * space.dimensions))
-        wanted = materialize(self.visits(questions, k, probes), "visits")
-        # Per cell: slices by its records, blocks by the questions that visit it. A record goes out once for each block of
-        # its own cell, and not at all if no question comes.
-        slices = spark.createDataFrame(
-            self.stats.assign(slices=np.ceil(self.stats["n"] / group_rows).astype("int64").clip(lower=1))[["collection", "cell", "slices"]],
-            "collection string, cell int, slices bigint")
-        visits = wanted.groupBy("collection", "cell").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("blocks")).where(F.col("blocks") >= 1)
-        # At most pivots x collections rows. On stored cells this is the filter by which Spark prunes their folders.
-        plan = F.broadcast(visits.join(F.broadcast(slices), ["collection", "cell"]))
-
-        def every(n: str) -> Column:
-            return F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-
-        asked = (
-            wanted.join(plan, ["collection", "cell"])
-            .withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
-            .withColumn("slice", every("slices")).drop("slices", "blocks")
-        )
+        tile = max(MIN_TILE, group_bytes // (8 * space.dimensions))
+        questions = questions.select("qid", "qvec")
+        n_blocks, slice_rows = self._grid(questions.count(), spark.sparkContext.defaultParallelism)
+        dealt = questions.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int"))
+        wanted = materialize(self._block_visits(dealt, k, probes), "visits")
+        # Small cells share a slice, a large one has several. At most pivots x collections rows.
+        n = self.stats["n"].to_numpy()
+        slices = np.maximum(np.ceil(n / slice_rows).astype("int64"), 1)
+        small = np.where(slices > 1, 0, n)
+        bin_of = (np.cumsum(small) - small) // slice_rows
+        first = np.where(slices > 1, int(bin_of.max(initial=0)) + 1 + np.cumsum(np.where(slices > 1, slices, 0)) - slices, bin_of)
+        sliced_cells = spark.createDataFrame(
+            self.stats[["collection", "cell"]].assign(first=first.astype("int64"), slices=slices), "collection string, cell int, first bigint, slices bigint")
+        # On stored cells this is the filter by which Spark prunes their folders.
+        visits = wanted.groupBy("collection", "cell").agg(F.collect_set("block").alias("blocks"))
+        plan = F.broadcast(visits.join(F.broadcast(sliced_cells), ["collection", "cell"]))
+        met = plan.select(F.explode("blocks").alias("block"), "first", "slices").select(
+            "block", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slices") - 1)).alias("slice")).distinct()
+        asked = dealt.join(F.broadcast(met), "block")
         sliced = (
             self.placed.select("collection", "cell", "id", "embedding").join(plan, ["collection", "cell"])
-            .withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-            .withColumn("block", every("blocks"))
-            .select("collection", "cell", "slice", "block", "id", "embedding")
+            .withColumn("slice", F.col("first") + F.pmod(F.xxhash64("id"), F.col("slices")))
+            .select("collection", "cell", "slice", F.explode("blocks").alias("block"), "id", "embedding")
         )
         schema = hit_schema(self.placed, questions)
         arrow = arrow_schema(schema)
-        keys, dimensions, metric = ["collection", "cell", "slice", "block"], space.dimensions, space.metric
+        shared = spark.sparkContext.broadcast((_plain(space), self._held()))
 
         def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
             if not asked.num_rows or not held.num_rows:
                 return arrow.empty_table()
-            best = NearestSoFar(matrix(asked.column("qvec"), dimensions), k, metric)
-            best.add(id_array(held.column("id")), matrix(held.column("embedding"), dimensions))
-            collection = held.column("collection")[0].as_py()
-            return pa.Table.from_batches([hit_rows(asked.column("qid").combine_chunks(), collection, best, arrow)])
-
-        return asked.groupBy(*keys).cogroup(sliced.groupBy(*keys)).applyInArrow(compare, schema)
+            space, cells = Space(*shared.value[0]), shared.value[1]
+            qvec = matrix(asked.column("qvec"), space.dimensions)
+            collections = np.asarray(held.column("collection").to_numpy(), dtype=object)
+            ids, vectors = id_array(held.column("id")), matrix(held.column("embedding"), space.dimensions)
+            cell = held.column("cell").to_numpy()
+            found = []
+            present = {c: cells[c] for c in held.column("collection").unique().to_pylist()}
+            for collection, number, mask in _masks(space, present, qvec, k, probes):
+                mine = np.flatnonzero(collections == collection)
+                mine = mine[np.argsort(cell[mine], kind="stable")]
+                best = NearestSoFar(qvec, k, space.metric, tile)
+                column = np.searchsorted(number, cell[mine])
+                # An exact search may compare more than it has to: cells that most questions visit are taken together.
+                share = mask.mean(axis=0) if probes is None else mask.all(axis=0) * 1.0
+                dense = share[column] > (0.5 if probes is None else 0.99)
+                best.add(ids[mine[dense]], vectors[mine[dense]])
+                mine, column = mine[~dense], column[~dense]
+                for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(column)) + 1) if len(mine) else []:
+                    best.add(ids[mine[part]], vectors[mine[part]], np.flatnonzero(mask[:, column[part[0]]]))
+                if len(best.row):
+                    found.append(hit_rows(asked.column("qid").combine_chunks(), collection, best, arrow))
+            return pa.Table.from_batches(found, schema=arrow)
+
+        # The tasks are few bytes but long work: their number is given, so that they are not put together by size.
+        keys, tasks = ["slice", "block"], max(1, n_blocks * int((first + slices).max(initial=1)))
+        return asked.repartition(tasks, *keys).groupBy(*keys).cogroup(sliced.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(compare, schema)
+
+
+def _masks(
+    space: Space, held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], vectors: np.ndarray, k: int, probes: int | None,
+) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each collection: its cells, ascending, and the mask (questions x cells) of those that a question visits."""
+    masks = {c: np.empty((len(vectors), len(h[0])), dtype=bool) for c, h in held.items()}
+    for a in range(0, len(vectors), ROUTED):
+        gaps = space.gaps(vectors[a:a + ROUTED], False)
+        finite = np.isfinite(gaps).all(axis=1)[:, None]
+        for collection, (number, n, radius) in held.items():
+            cells = pd.DataFrame({"cell": number, "n": n, "radius": radius})
+            masks[collection][a:a + ROUTED] = space.visited(gaps, cells, k, probes) & finite
+    for collection, mask in masks.items():
+        yield collection, held[collection][0], mask
 
 
 class StoredCells:

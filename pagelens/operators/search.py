@@ -31,6 +31,7 @@ DEFAULT_TOP_N = 6
 BROADCAST_BYTES = 64 << 20
 HIT_BYTES = 256  # generous size of one hit in memory
 MERGE_ROWS = 10_000_000
+MANY_QUESTIONS = 4096
 
 
 def k_or_default(k: int | None) -> int:
@@ -114,8 +115,11 @@ def _scan(
 
     # A task emits k rows per question however much it reads. Only where that would be too many rows to merge are
     # partitions read together; a few questions leave the scan, and an embedder ahead of it, as parallel as it comes.
-    tasks = max(4 * spark.sparkContext.defaultParallelism, MERGE_ROWS // (k * max(1, questions.num_rows)))
-    return corpus.coalesce(tasks).mapInArrow(search, schema)
+    # Many make each record long work, so the records are dealt evenly first.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, MERGE_ROWS // (k * max(1, questions.num_rows)))
+    if questions.num_rows < MANY_QUESTIONS:
+        return corpus.coalesce(tasks).mapInArrow(search, schema)
+    return corpus.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(search, schema)
 
 
 def merge_collections(

@@ -7,6 +7,9 @@ import numpy as np
 
 TILE = 2048
 PAIRS = 65_536
+ROUNDING = 1e-9
+SINGLE, DOUBLE = float(np.finfo("float32").eps), float(np.finfo("float64").eps)
+LONGEST = 1e15  # squares of longer vectors leave single precision
 METRICS = ("l2sq", "cosine", "ip")
 
 
@@ -47,55 +50,117 @@ def _without_surplus_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> tup
 
 class NearestSoFar:
     """Running top-k by (score, id) for every question row. Equal scores are settled by id, so the
-    outcome does not depend on the order in which tiles arrive."""
+    outcome does not depend on the order in which tiles arrive. A tile is screened in single precision with a bound on its
+    rounding, and what passes is scored again; only the questions that it reaches are touched."""
 
-    def __init__(self, questions: np.ndarray, k: int, metric: str) -> None:
+    def __init__(self, questions: np.ndarray, k: int, metric: str, tile: int = TILE) -> None:
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric!r}")
         self.metric = metric
         self.questions = unit(questions) if metric == "cosine" else questions
-        self.k = k
+        self.k, self.tile = k, max(1, min(tile, TILE))
         self.limit = np.full(len(questions), np.inf)
-        self.row = np.empty(0, dtype="int64")
-        self.score = np.empty(0)
-        self.id: np.ndarray | None = None
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.count = np.zeros(len(questions), dtype="int64")
+        self._score = np.full((len(questions), k), np.inf)
+        self._id: np.ndarray | None = None
+        squared = (self.questions * self.questions).sum(axis=1)
+        self._length = np.sqrt(squared)
+        # A tile's scores without what all records share: |v|^2 - 2 q.v of |q|^2 + |v|^2 - 2 q.v, or -q.v of 1 - q.v.
+        self._shared = squared if metric == "l2sq" else np.ones(len(questions))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._single = (-2.0 * self.questions if metric == "l2sq" else -self.questions).astype("float32")
+        if metric == "l2sq":
+            self._single = np.hstack([self._single, np.ones((len(questions), 1), dtype="float32")])
+
+    @property
+    def _filled(self) -> np.ndarray:
+        return np.arange(self.k)[None, :] < self.count[:, None]
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)
+
+    @property
+    def score(self) -> np.ndarray:
+        return self._score[self._filled]
+
+    @property
+    def id(self) -> np.ndarray | None:
+        return None if self._id is None else self._id[self._filled]
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Records to compare with all questions, or with those of ``rows`` (ascending)."""
         vectors = vectors.astype("float64")
         if self.metric == "cosine":
             vectors = unit(vectors)
         usable = np.isfinite(vectors).all(axis=1)
         if not usable.all():
             ids, vectors = ids[usable], vectors[usable]
+        if not len(vectors):
+            return
         if len(vectors) > self.k:
             ids, vectors = _without_surplus_copies(ids, vectors, self.k)
-        for a in range(0, len(vectors), TILE):
-            for b in range(0, len(self.questions), TILE):
-                self._add_tile(ids[a:a + TILE], vectors[a:a + TILE], b)
-
-    def _add_tile(self, ids: np.ndarray, vectors: np.ndarray, begin: int) -> None:
-        questions = self.questions[begin:begin + TILE]
-        scores = _tile_scores(questions, vectors, self.metric)
-        bound = self.limit[begin:begin + TILE]
-        if len(ids) > self.k:
-            bound = np.minimum(bound, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1])
-        # The matrix product rounds differently: keep everything within its error, score it again exactly.
-        slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(bound), bound, 0.0)))
-        row, at = np.nonzero(scores <= (bound + slack)[:, None])
+        if rows is not None and len(rows) == len(self.limit):
+            rows = None
+        n = len(self.limit) if rows is None else len(rows)
+        for a in range(0, len(vectors), self.tile):
+            tile_ids, tile = ids[a:a + self.tile], vectors[a:a + self.tile]
+            squared = (tile * tile).sum(axis=1)
+            longest = np.sqrt(squared.max())
+            single = tile.astype("float32") if longest < LONGEST else None
+            if single is not None and self.metric == "l2sq":
+                single = np.hstack([single, squared.astype("float32")[:, None]])
+            for b in range(0, n, TILE):
+                chosen = slice(b, min(b + TILE, n)) if rows is None else rows[b:b + TILE]
+                self._add_tile(tile_ids, tile, single, longest, chosen)
+
+    def _add_tile(
+        self, ids: np.ndarray, vectors: np.ndarray, single: np.ndarray | None, longest: float, chosen: slice | np.ndarray,
+    ) -> None:
+        bound, length = self.limit[chosen], self._length[chosen]
+        size = length + longest
+        passed = None
+        if single is not None and np.isfinite(bound).all() and length.max() < LONGEST:
+            # Rounding of a sum of that many products, each at most as large as the lengths allow.
+            slack = ROUNDING * (1.0 + np.abs(bound)) + (vectors.shape[1] + 8) * SINGLE * size * size
+            most = np.nextafter((bound - self._shared[chosen] + slack).astype("float32"), np.float32(np.inf))
+            passed = (self._single[chosen] @ single.T) <= most[:, None]
+            if np.count_nonzero(passed) > 4 * self.k * len(bound):
+                passed = None
+        if passed is None:
+            scores = _tile_scores(self.questions[chosen], vectors, self.metric)
+            if len(ids) > self.k:
+                bound = np.minimum(bound, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1])
+            # The matrix product rounds differently: keep everything within its error, score it again exactly.
+            slack = ROUNDING * (1.0 + np.abs(np.where(np.isfinite(bound), bound, 0.0))) + (vectors.shape[1] + 8) * DOUBLE * size * size
+            passed = scores <= (bound + slack)[:, None]
+        flat = np.flatnonzero(passed)
+        row, at = flat // len(ids), flat % len(ids)
+        row = row + chosen.start if isinstance(chosen, slice) else chosen[row]
         for a in range(0, len(row), PAIRS):
             r, v = row[a:a + PAIRS], at[a:a + PAIRS]
-            self._merge(r + begin, _pair_scores(questions[r], vectors[v], self.metric), ids[v])
+            score = _pair_scores(self.questions[r], vectors[v], self.metric)
+            near = score <= self.limit[r]
+            if near.any():
+                self._merge(r[near], score[near], ids[v[near]])
 
     def _merge(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        row = np.concatenate([self.row, row])
-        score = np.concatenate([self.score, score])
-        ids = ids if self.id is None else np.concatenate([self.id, ids])
+        if self._id is None:
+            self._id = np.zeros(self._score.shape, dtype=ids.dtype)
+        wide = np.promote_types(self._id.dtype, ids.dtype)
+        if wide != self._id.dtype:
+            self._id = self._id.astype(wide)
+        touched = np.unique(row)
+        filled = np.arange(self.k)[None, :] < self.count[touched][:, None]
+        row = np.concatenate([np.repeat(touched, self.count[touched]), row])
+        score = np.concatenate([self._score[touched][filled], score])
+        ids = np.concatenate([self._id[touched][filled], ids])
         order = np.lexsort((ids, score, row))
         row, score, ids = row[order], score[order], ids[order]
-        first = np.searchsorted(row, row, side="left")
-        kept = np.arange(len(row)) - first < self.k
-        self.row, self.score, self.id = row[kept], score[kept], ids[kept]
-        rows, counts = np.unique(self.row, return_counts=True)
-        last = np.cumsum(counts) - 1
-        full = counts == self.k
-        self.limit[rows[full]] = self.score[last[full]]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        kept = place < self.k
+        row, place = row[kept], place[kept]
+        self._score[row, place], self._id[row, place] = score[kept], ids[kept]
+        self.count[touched] = np.bincount(np.searchsorted(touched, row), minlength=len(touched))
+        full = touched[self.count[touched] == self.k]
+        self.limit[full] = self._score[full, self.k - 1]
