@@ -10,7 +10,7 @@ from pagelens.functions import ids as I
 from pagelens.functions.text import table_preview
 from pagelens.operators.numbering import running_number
 from pagelens.plans.ingest import ingest, ingest_stats, table_rows as stored_rows
-from pagelens.session import scratch_path
+from pagelens.session import materialize, scratch_path
 from pagelens.sources.tables import csv_rows, read_artifact, sidecar, table_records, table_rows, write_sidecars, write_table_csv
 
 
@@ -136,7 +136,7 @@ def artifact_files(spark, sf_dir):
 SELECT table_id, row_no, value FROM csv JOIN first USING (table_id)""")
 def artifact_by_path(spark, sf_dir):
     out = scratch_path(spark, "artifacts")
-    cells = R.table_cells(spark, sf_dir)
+    cells = materialize(R.table_cells(spark, sf_dir), "cells")
     write_table_csv(cells, out)
     path = table_records(cells, out).orderBy("table_id").select("csv_path").first()[0]
     return read_artifact(spark, path).select("table_id", "row_no", "value")

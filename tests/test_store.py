@@ -206,3 +206,28 @@ def test_no_table_row_is_lost(spark):
     assert table_rows(cells).count() == 14 + 2 + 1
     files = spark.createDataFrame([("a/x.pdf", "1" * 64), ("b/x.pdf", "2" * 64)], "pdf_path string, doc_hash string")
     assert stored_rows(table_records(cells.where("pdf_path is not null")), files).count() == 2
+
+
+def test_table_rows_are_made_once(spark, tmp_path):
+    """Rejects, records, lines and sidecars of one ingest read the table rows that were written, not what makes them."""
+    pages, cells, pictures, files = sample(spark)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    counted = cells.mapInArrow(count, cells.schema)
+    index_files(RecordStore(spark, str(tmp_path / "store")), files, cells=counted, artifact_root=str(tmp_path / "artifacts"))
+    assert made.value == cells.count()
+
+
+def test_sidecar_folders_hold_few_files(spark, tmp_path):
+    from pagelens.sources.tables import write_sidecars
+
+    rows = [(f"f{i % 3}.pdf", i, 0, r, ["a"], None) for i in range(60) for r in range(2)]
+    records = table_records(spark.createDataFrame(rows, TABLE_CELLS).repartition(12)).repartition(12)
+    write_sidecars(records, str(tmp_path))
+    files = list((tmp_path / "records").glob("bucket=*/part-*"))
+    assert len(files) == 3 and spark.read.json(str(tmp_path / "records")).count() == 60
