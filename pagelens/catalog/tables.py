@@ -11,7 +11,7 @@ from pagelens.functions.text import table_preview
 from pagelens.operators.numbering import running_number
 from pagelens.plans.ingest import ingest, ingest_stats, table_rows as stored_rows
 from pagelens.session import materialize, scratch_path
-from pagelens.sources.tables import csv_rows, read_artifact, sidecar, table_records, table_rows, write_sidecars, write_table_csv
+from pagelens.sources.tables import csv_rows, read_artifact, shares_of, sidecar, table_records, table_rows, write_sidecars, write_table_csv
 
 
 # A record names its table; the checksum is over all of its data rows, summed up row by row.
@@ -146,7 +146,9 @@ def artifact_by_path(spark, sf_dir):
 SELECT table_id, pdf_path, CAST(row_count AS BIGINT) AS row_count, preview_text FROM records""")
 def sidecar_files(spark, sf_dir):
     out = scratch_path(spark, "sidecars")
-    write_sidecars(table_records(R.table_cells(spark, sf_dir)), out)
+    # Written once, which frees the shuffles of its numbering ahead of the next one.
+    cells = materialize(R.table_cells(spark, sf_dir), "cells", "zstd")
+    write_sidecars(table_records(cells, shares=shares_of(cells)), out, compression="gzip")
     return spark.read.schema("table_id string, pdf_path string, row_count bigint, preview_text string").json(
         f"{out}/records").select("table_id", "pdf_path", "row_count", "preview_text")
 
