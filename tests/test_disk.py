@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagelens import session
+from pagelens.catalog import QUERIES
+from pagelens.operators import search
 from pagelens.operators.embedding import hashed_words
 from pagelens.plans.ingest import index_files
 from pagelens.session import FREE_SHUFFLES, materialize
@@ -61,6 +63,25 @@ def test_records_by_folder_are_the_same(spark, plan_of, tmp_path):
     assert shares_of(cells(spark)) == 1
 
 
+def test_text_search_writes_its_vectors_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_path", lambda _, label: f"{tmp_path}/scratch/{label}-{uuid.uuid4().hex}")
+    monkeypatch.setattr(search, "MANY_QUESTIONS", 3)  # the way of many questions
+    words = "ab cd ef gh ij kl mn op".split()
+    docs = [(i, " ".join(words[(i + j) % 8] for j in range(4)) + f" n{i}", "en", f"src{i % 3}", 0) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(i, 0, "user", docs[i][1]) for i in range(9)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("search_text", "ask_documents"):
+        before = set(glob.glob(f"{tmp_path}/scratch/corpus-*"))
+        rows = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(set(glob.glob(f"{tmp_path}/scratch/corpus-*")) - before) == 1
+        assert {r.qid for r in rows} == {1000 * i for i in range(9)}
+        if name == "search_text":
+            assert len(rows) == 36 and all(abs(r.score) < 1e-9 for r in rows if r["rank"] == 1)
+        else:
+            assert all(docs[r.qid // 1000][1] in r.prompt.split("Context:")[1] and r.ok for r in rows)
+
+
 def test_ingest_writes_its_tables_once(spark, tmp_path, monkeypatch):
     made = cells(spark).where("pdf_path is not null and page is not null")
     files = made.select("pdf_path").distinct().withColumn("doc_hash", F.sha2("pdf_path", 256))
